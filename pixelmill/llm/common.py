@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,33 +40,41 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_or_empty(col: str) -> Column:
-    return F.coalesce(F.col(col), F.lit(""))
+class Shipped:
+    """An object of this package on its way to the tasks, once for each executor."""
+
+    def __init__(self, spark: SparkSession, obj: object):
+        self.blob = spark.sparkContext.broadcast(cloudpickle.dumps(obj))
+
+    def get(self):
+        return pickle.loads(self.blob.value)
 
 
 # --- fixed-size bitmaps of ids -------------------------------------------------
 
-BITMAP_WORDS = 1 << 17  # 8.4 million bits: one MB, whatever the input
+BITMAP_BITS = 1 << 29  # at most 64 MB, whatever the input
 
 
 def bitmap(ids: DataFrame, col: str) -> np.ndarray:
-    """A one-hash bitmap of the ids; its size is fixed, so it can be sent to every task."""
-    pos = F.pmod(F.xxhash64(F.col(col)), F.lit(BITMAP_WORDS * 64))
+    """A one-hash bitmap of the ids, of bounded size, so it can be sent to every task."""
+    n = ids.count()
+    bits = min(BITMAP_BITS, 1 << max(16, (16 * n).bit_length()))
+    pos = F.pmod(F.xxhash64(F.col(col)), F.lit(bits))
     rows = (
-        ids.select(F.expr("cast(0 as long)").alias("z"), pos.alias("p"))
-        .select((F.col("p") / 64).cast("long").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b"))
+        ids.select(pos.alias("p"))
+        .select(F.expr("p div 64").cast("int").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b"))
         .groupBy("w")
         .agg(F.bit_or("b").alias("b"))
         .toArrow()
     )
-    out = np.zeros(BITMAP_WORDS, dtype=np.int64)
+    out = np.zeros(bits // 64, dtype=np.int64)
     out[rows["w"].to_numpy()] = rows["b"].to_numpy()
     return out
 
 
 def in_bitmap(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     """Whether ids whose ``xxhash64`` is ``hashed`` may be in the bitmap (no false negatives)."""
-    p = np.mod(hashed, BITMAP_WORDS * 64)
+    p = np.mod(hashed, len(bits) * 64)
     return (bits[p >> 6].view(np.uint64) >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
