@@ -1,4 +1,4 @@
-"""Registry of the queries over the reference operators and their oracle SQL."""
+"""Registry of the queries over the core operators and their oracle SQL."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pixelmill.plans import manifest_queries, model_queries, pixel_queries, region_queries
+
+MODULES = (region_queries, manifest_queries, model_queries, pixel_queries)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.ORACLE.items()}
