@@ -9,10 +9,11 @@ some segment that isn't empty, and joining on (band, segment, XOR) finds it. A s
 segments than that emits its empty segments too, so nothing is lost. A set takes part in the band of
 its own size and in those of larger partners.
 
-Sets that meet in a segment are linked in two rounds, so that groups are not expanded to pairs:
-each with the smallest member, verified by exact intersection; then, only where members of one
-segment are still in different components, block by block by a parity bit sketch whose Hamming
-distance bounds the symmetric difference, and again by exact intersection.
+Pairs that meet in a segment are pruned by size and by a parity bit sketch whose Hamming distance
+bounds the symmetric difference, and verified by exact intersection. Large groups are not expanded
+to pairs: a first round takes each member with the smallest one; later ones, only where members of one
+segment are still in different components, take each member with its nearest ones of other components
+by sketch, and the last takes every pair of different components that is left.
 
 Cases: a null or wordless text has an empty set and links with nothing; equal sets (copies) are one
 node; fewer words than k are one shingle. A row without id gets a null component and links nothing.
@@ -31,10 +32,12 @@ from pixelmill.llm.common import bitmap, connected_components, in_bitmap, materi
 from pixelmill.llm.shingles import U, mix, set_signature, shingle_sets, slices
 
 BAND = 1.5  # ratio of the largest to the smallest size of a band
-FLUSH = 3_000_000  # keys that a task holds before it hands them on
+FLUSH = 1_500_000  # keys that a task holds before it hands them on
 BLOCK = 1024
-SKETCH_WORDS = 32  # 2,048 parity bits
+MOST_WORDS = 1024  # of a sketch: 65,536 parity bits
 SHARD_ROWS = 100_000
+NEAREST = (1, 8, None)  # partners of a member that a later round takes; the last takes all that are left
+WHOLE = 8  # sets of so many members are compared pair by pair at once
 
 
 def bands(largest: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
@@ -85,13 +88,37 @@ def segment_keys(values: np.ndarray, off: np.ndarray, num: int, den: int) -> tup
     return np.concatenate(sets), np.concatenate(keys)
 
 
-def parity_bits(values: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """[sets, SKETCH_WORDS] parity sketches: a shingle flips one bit."""
+def parity_bits(values: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """The parity sketch of each set: a shingle flips one of at least two bits for each shingle, a power of two."""
     n = np.diff(off)
-    bit = (mix(values ^ U(99)) >> U(64 - 11)).astype(np.int64)
-    cell = np.repeat(np.arange(len(n)), n) * (64 * SKETCH_WORDS) + bit
-    odd = np.bincount(cell, minlength=len(n) * 64 * SKETCH_WORDS).astype(np.uint8) & 1
-    return np.packbits(odd.reshape(len(n), -1), axis=1).view(U)
+    out: list[bytes] = [b""] * len(n)
+    words = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1) / 32)).astype(int).clip(2), 4, MOST_WORDS)
+    for w in np.unique(words):
+        who = np.flatnonzero(words == w)
+        m = n[who]
+        pos = np.repeat(off[who], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        bit = (mix(values[pos] ^ U(99)) & U(64 * w - 1)).astype(np.int64)
+        odd = np.bincount(np.repeat(np.arange(len(who)) * 64 * w, m) + bit, minlength=len(who) * 64 * w).astype(np.uint8) & 1
+        packed = np.packbits(odd.reshape(len(who), -1), axis=1)
+        for i, row in zip(who, packed, strict=True):
+            out[i] = row.tobytes()
+    return out
+
+
+def folded(x: np.ndarray) -> np.ndarray:
+    """Sketches of half the length: both halves XORed."""
+    h = x.shape[-1] // 2
+    return x[..., :h] ^ x[..., h:]
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Hamming distance of two sketches, the longer folded: at most the symmetric difference of their sets."""
+    u, v = np.frombuffer(x, U), np.frombuffer(y, U)
+    while len(u) > len(v):
+        u = folded(u)
+    while len(v) > len(u):
+        v = folded(v)
+    return int(np.bitwise_count(u ^ v).sum())
 
 
 def _binary(blobs: list[bytes]) -> pa.Array:
@@ -110,9 +137,10 @@ def links_of_documents(
             for b in slices(big, "text"):
                 v, off = shingle_sets(b.column(1), k)
                 s1, s2 = set_signature(v, off)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off)), pa.array(s1), pa.array(s2)], names=["doc_id", "n", "s1", "s2"])
+                cols = [b.column(0), pa.array(np.diff(off)), pa.array(s1), pa.array(s2), _binary(parity_bits(v, off))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "s1", "s2", "sketch"])
 
-    rows = materialize(src.mapInArrow(profile, "doc_id long, n long, s1 long, s2 long"), "profiles")
+    rows = materialize(src.mapInArrow(profile, "doc_id long, n long, s1 long, s2 long, sketch binary"), "profiles")
     classes = rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     buckets = max(64, 2 * parts(spark))
 
@@ -193,32 +221,31 @@ def links_of_documents(
 
     def stars(batches):
         for b in batches:
-            out = [np.frombuffer(m, np.int64) for m in b.column(0).to_pylist()]
+            out = []
+            for m in b.column(0).to_pylist():
+                x = np.frombuffer(m, np.int64)
+                i, j = np.triu_indices(len(x), 1) if len(x) <= WHOLE else (np.zeros(len(x) - 1, int), np.arange(1, len(x)))
+                out.append(np.stack([x[i], x[j]]))
             if out:
-                hub = np.concatenate([np.full(len(x) - 1, x[0]) for x in out])
-                yield pa.RecordBatch.from_arrays([pa.array(hub), pa.array(np.concatenate([x[1:] for x in out]))], names=["a", "b"])
+                p = np.unique(np.concatenate(out, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
 
     pairs = materialize(sets.select("members").mapInArrow(stars, "a long, b long").distinct(), "stars")
+    nodes = pairs.select(F.col("a").alias("s1")).unionAll(pairs.select("b")).distinct()
+    sketches = materialize(rows.filter("n > 0").join(nodes, "s1", "left_semi").select("s1", "n", "sketch").dropDuplicates(["s1"]), "sketches")
 
-    # the sets of the documents that met another, read once more from their texts
-    wanted = pairs.select(F.col("a").alias("s1")).unionAll(pairs.select("b")).distinct()
-    chosen = materialize(classes.join(wanted, "s1").groupBy("s1").agg(F.min("rep").alias("rep")).filter("rep is not null"), "chosen")
-    bits = spark.sparkContext.broadcast(bitmap(chosen, "rep"))
-
-    def reread(batches):
-        for big in batches:
-            big = big.filter(pa.array(in_bitmap(bits.value, big.column(2).to_numpy())))
-            for b in slices(big, "text") if len(big) else ():
-                v, off = shingle_sets(b.column(1), k)
-                sk = parity_bits(v, off)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(set_signature(v, off)[0]), pa.array(np.diff(off)), _binary([v[a:c].tobytes() for a, c in zip(off[:-1], off[1:], strict=True)]), _binary([x.tobytes() for x in sk])],
-                    names=["rep", "s1", "n", "shingles", "sketch"],
-                )
+    def close(batches):
+        for b in batches:
+            na, x, nb, y = (b.column(c).to_pylist() for c in (2, 3, 4, 5))
+            ok = [apart(x[i], y[i]) * (num + den) <= (den - num) * (na[i] + nb[i]) for i in range(len(na))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    read = src.filter("doc_id is not null").withColumn("h", F.xxhash64("doc_id"))
-    found = read.mapInArrow(reread, "rep long, s1 long, n long, shingles binary, sketch binary")
-    texts = materialize(found.join(chosen, ["rep", "s1"], "left_semi").dropDuplicates(["s1"]), "sets-of-shingles")
+    def plausible(cand: DataFrame) -> DataFrame:
+        """Pairs whose sizes and parity sketches allow the similarity."""
+        x = sketches.select(F.col("s1").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+        y = sketches.select(F.col("s1").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+        both = cand.join(x, "a").join(y, "b").filter(den * F.least("na", "nb") >= num * F.greatest("na", "nb"))
+        return both.select("a", "b", "na", "x", "nb", "y").mapInArrow(close, "a long, b long")
 
     def verify(batches):
         for b in batches:
@@ -229,72 +256,124 @@ def links_of_documents(
                 ok.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    def linked(cand: DataFrame) -> DataFrame:
-        """The candidate pairs (a, b) whose sets are similar enough."""
-        x = texts.select(F.col("s1").alias("a"), F.col("n").alias("na"))
-        y = texts.select(F.col("s1").alias("b"), F.col("n").alias("nb"))
-        near = cand.join(x, "a").join(y, "b").filter(den * F.least("na", "nb") >= num * F.greatest("na", "nb")).select("a", "b")
-        near = near.join(texts.select(F.col("s1").alias("b"), F.col("shingles").alias("y")), "b")
+    reps = classes.groupBy("s1").agg(F.min("rep").alias("rep")).filter("rep is not null")
+
+    def shingles_of(nodes: DataFrame) -> DataFrame:
+        """(s1, shingles) of the sets named by ``nodes`` (s1), read again from their texts; a few more may come."""
+        bits = spark.sparkContext.broadcast(bitmap(reps.join(nodes, "s1", "left_semi"), "rep"))
+
+        def reread(batches):
+            for big in batches:
+                big = big.filter(pa.array(in_bitmap(bits.value, big.column(2).to_numpy())))
+                for b in slices(big, "text") if len(big) else ():
+                    v, off = shingle_sets(b.column(1), k)
+                    blobs = _binary([v[a:c].tobytes() for a, c in zip(off[:-1], off[1:], strict=True)])
+                    yield pa.RecordBatch.from_arrays([pa.array(set_signature(v, off)[0]), blobs], names=["s1", "shingles"])
+
+        read = src.filter("doc_id is not null").withColumn("h", F.xxhash64("doc_id"))
+        return materialize(read.mapInArrow(reread, "s1 long, shingles binary"), "shingles")
+
+    def linked(cand: DataFrame, texts: DataFrame) -> DataFrame:
+        """The candidate pairs whose sets are similar enough."""
+        near = cand.select("a", "b").join(texts.select(F.col("s1").alias("b"), F.col("shingles").alias("y")), "b")
         near = near.join(texts.select(F.col("s1").alias("a"), F.col("shingles").alias("x")), "a")
-        return near.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+        return materialize(near.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "links")
 
-    first = materialize(linked(pairs), "links")
-    comp = materialize(connected_components(first), "components")
+    tested = materialize(plausible(pairs), "near")
+    edges = linked(tested, shingles_of(tested.select(F.col("a").alias("s1")).unionAll(tested.select("b")).distinct()))
 
-    # second round: sets of three or more whose members are not in one component yet
+    # later rounds: larger sets whose members are not in one component yet
     def rows_of(batches):
         for b in batches:
             m = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
             if m:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), [len(x) for x in m])), pa.array(np.concatenate(m))], names=["set_id", "node"])
 
-    inside = sets.filter("size > 2").select("set_id", "members").mapInArrow(rows_of, "set_id long, node long")
-    placed = materialize(inside.join(comp, "node", "left").select("set_id", "node", F.coalesce("component", "node").alias("comp")), "placed")
-    mixed = placed.groupBy("set_id").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).filter("c0 < c1")
-    nb = F.ceil(F.col("m") / BLOCK).cast("int")
-    spread = (
-        placed.join(mixed, "set_id")
-        .withColumn("nb", nb)
-        .withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select("set_id", "node", "comp", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
-    )
-    spread = materialize(spread, "blocks")
-    shards = max(1, -(-spread.count() // SHARD_ROWS))
-    work = spread.join(texts.select(F.col("s1").alias("node"), "n", "sketch"), "node").withColumn("shard", F.pmod(F.xxhash64("set_id", "bi", "bj"), F.lit(shards)))
-
-    def across(t: pa.Table) -> pa.Table:
-        c = {x: t[x].to_numpy() for x in ("set_id", "node", "comp", "blk", "bi", "bj", "n")}
-        order = np.lexsort((c["node"], c["blk"], c["bj"], c["bi"], c["set_id"]))
-        c = {x: y[order] for x, y in c.items()}
-        sk = np.frombuffer(b"".join(t["sketch"].to_pylist()), U).reshape(-1, SKETCH_WORDS)[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (c["set_id"][1:] != c["set_id"][:-1]) | (c["bi"][1:] != c["bi"][:-1]) | (c["bj"][1:] != c["bj"][:-1])
-        start = np.append(np.flatnonzero(new), len(order))
-        out = []
-        for lo, hi in zip(start[:-1], start[1:], strict=True):
-            same = c["bi"][lo] == c["bj"][lo]
-            mid = hi if same else lo + int((c["blk"][lo:hi] == c["bi"][lo]).sum())
-            for i in range(lo, mid):
-                j = np.arange(i + 1 if same else mid, hi)
-                ni, nj = c["n"][i], c["n"][j]
-                j = j[(c["comp"][j] != c["comp"][i]) & (den * np.minimum(ni, nj) >= num * np.maximum(ni, nj))]
-                if len(j):
-                    apart = np.bitwise_count(sk[j] ^ sk[i]).sum(axis=1)
-                    j = j[apart * (num + den) <= (den - num) * (c["n"][i] + c["n"][j])]
-                if len(j):
-                    out.append(np.stack([np.full(len(j), c["node"][i]), c["node"][j]]))
-        p = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        p = np.unique(np.sort(p, axis=0), axis=1)
-        return pa.table({"a": p[0], "b": p[1]})
-
-    late = materialize(work.groupBy("shard").applyInArrow(across, "a long, b long").distinct(), "late")
-    edges = first if late.isEmpty() else first.unionAll(linked(late))
-    rep = classes.filter("rep is not null").groupBy("s1").agg(F.min("rep").alias("rep"))
-    by_id = edges.join(rep.select(F.col("s1").alias("a"), F.col("rep").alias("ra")), "a").join(rep.select(F.col("s1").alias("b"), F.col("rep").alias("rb")), "b")
+    def across(most: int | None):
+        """Plausible pairs of different components; the ``most`` nearest of each member in a block, or all."""
+
+        def run(t: pa.Table) -> pa.Table:
+            c = {x: t[x].to_numpy() for x in ("set_id", "node", "comp", "blk", "bi", "bj", "n")}
+            order = np.lexsort((c["node"], c["blk"], c["bj"], c["bi"], c["set_id"]))
+            c = {x: y[order] for x, y in c.items()}
+            raw = t["sketch"].to_pylist()
+            raw = [np.frombuffer(raw[i], U) for i in order]
+            length = np.array([len(x) for x in raw], np.int64)
+            row, full, half = np.zeros(len(raw), np.int64), {}, {}
+            for w in np.unique(length):
+                at = np.flatnonzero(length == w)
+                row[at] = np.arange(len(at))
+                full[w] = np.stack([raw[i] for i in at])
+                half[w] = folded(full[w])
+            new = np.ones(len(order), bool)
+            new[1:] = (c["set_id"][1:] != c["set_id"][:-1]) | (c["bi"][1:] != c["bi"][:-1]) | (c["bj"][1:] != c["bj"][:-1])
+            start = np.append(np.flatnonzero(new), len(order))
+            out = [np.zeros((3, 0), np.int64)]
+            for lo, hi in zip(start[:-1], start[1:], strict=True):
+                same = c["bi"][lo] == c["bj"][lo]
+                mid = hi if same else lo + int((c["blk"][lo:hi] == c["bi"][lo]).sum())
+                found = [np.zeros((3, 0), np.int64)]
+                for i in range(lo, mid):
+                    j = np.arange(i + 1 if same else mid, hi)
+                    ni, nj = c["n"][i], c["n"][j]
+                    j = j[(c["comp"][j] != c["comp"][i]) & (den * np.minimum(ni, nj) >= num * np.maximum(ni, nj))]
+                    if not len(j):
+                        continue
+                    w, far = length[i], np.zeros(len(j), np.int64)
+                    for step, mine, other in ((w, full[w], full.get(w)), (2 * w, full[w], half.get(2 * w)), (w // 2, half[w], full.get(w // 2))):
+                        at = np.flatnonzero(length[j] == step)
+                        if len(at):
+                            far[at] = np.bitwise_count(other[row[j[at]]] ^ mine[row[i]]).sum(axis=1)
+                    ok = far * (num + den) <= (den - num) * (ni + c["n"][j])
+                    found.append(np.stack([np.full(ok.sum(), i), j[ok], far[ok]]))
+                f = np.concatenate(found, axis=1)
+                if most is not None and f.shape[1]:
+                    f = f[:, np.argsort(f[2], kind="stable")]
+                    keep = np.zeros(f.shape[1], bool)
+                    for side in (0, 1):  # the nearest of each member on either side
+                        o = np.argsort(f[side], kind="stable")
+                        first = np.searchsorted(f[side][o], f[side][o])
+                        keep[o[np.arange(len(o)) - first < most]] = True
+                    f = f[:, keep]
+                out.append(np.stack([c["node"][f[0]], c["node"][f[1]], f[2]]))
+            p = np.unique(np.sort(np.concatenate(out, axis=1)[:2], axis=0), axis=1)
+            return pa.table({"a": p[0], "b": p[1]})
+
+        return run
+
+    inside = materialize(sets.filter(F.col("size") > WHOLE).select("set_id", "members").mapInArrow(rows_of, "set_id long, node long"), "members")
+    texts, comp = None, connected_components(edges)
+    for most in NEAREST:
+        placed = materialize(inside.join(comp, "node", "left").select("set_id", "node", F.coalesce("component", "node").alias("comp")), "placed")
+        mixed = placed.groupBy("set_id").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).filter("c0 < c1")
+        spread = (
+            placed.join(mixed, "set_id")
+            .withColumn("nb", F.ceil(F.col("m") / BLOCK).cast("int"))
+            .withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+            .select("set_id", "node", "comp", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
+        )
+        spread = materialize(spread, "blocks")
+        shards = max(1, -(-spread.count() // SHARD_ROWS))
+        work = spread.join(sketches.withColumnRenamed("s1", "node"), "node").withColumn("shard", F.pmod(F.xxhash64("set_id", "bi", "bj"), F.lit(shards)))
+        seen = materialize(work.groupBy("shard").applyInArrow(across(most), "a long, b long").distinct(), "seen")
+        if seen.isEmpty():
+            break
+        if texts is None:
+            # a member of a plausible pair is in its own nearest pair, so later rounds need no others
+            ends = materialize(seen.select(F.col("a").alias("node")).unionAll(seen.select("b")).distinct(), "ends")
+            inside = materialize(inside.join(ends, "node", "left_semi"), "members")
+            texts = shingles_of(ends.withColumnRenamed("node", "s1"))
+        late = seen.join(tested, ["a", "b"], "left_anti")
+        more = linked(late, texts)
+        tested = tested.unionAll(seen)
+        if not more.isEmpty():
+            edges = materialize(edges.unionAll(more), "edges")
+            comp = connected_components(edges)
+    by_id = edges.join(reps.select(F.col("s1").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("s1").alias("b"), F.col("rep").alias("rb")), "b")
     whole = connected_components(by_id.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     known = classes.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component"))
-    return rows.join(known, ["n", "s1", "s2"], "left").select(
+    return rows.drop("sketch").join(known, ["n", "s1", "s2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
         F.coalesce("class_id", "doc_id").alias("class_id"),
     )
