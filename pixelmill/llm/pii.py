@@ -5,7 +5,7 @@ then runs transducers over the text, each of which maps every character that it
 characters that it read: homoglyphs and compatibility forms become ASCII and invisible characters
 vanish; bracketed or spelled "at", "dot" and "plus" become signs; runs of spelled digits become digits. The same
 detectors read the normalised text, and spans that rest on a rewritten character are mapped back to
-source offsets. Base spans stay; an added span never overlaps a base span of its kind.
+source offsets. Base spans stay; an added span is never inside another span of its kind.
 
 Offsets are code points, ends exclusive. Cases: a null text is empty and has no spans; long runs of
 digits or address characters take linear time; ties are ordered by kind. Rows and columns are kept.
@@ -180,7 +180,7 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
             added.append(("card", *m.span()))
     taken = {k: [s for s in base if s[0] == k] for k in KINDS}
     for s in dict.fromkeys(added):
-        if all(s[2] <= t[1] or s[1] >= t[2] for t in taken[s[0]]):
+        if not any(t[1] <= s[1] and s[2] <= t[2] for t in taken[s[0]]):
             taken[s[0]].append(s)
     return base, sorted((s for own in taken.values() for s in own), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
