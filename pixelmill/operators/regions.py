@@ -59,56 +59,131 @@ def wide_row(agg: DataFrame, features: list[str], key: str = "sample_id", stats:
     return p.select(key, *(F.col(f"`{f}`")[s].alias(f"{f}{sep}{s}") for f in sorted(features) for s in stats))
 
 
-def _pairs(regions: DataFrame, key: str) -> DataFrame:
-    a = regions.select(key, *(F.col(c).alias(f"a_{c}") for c in ("ord", "x", "y", "w", "h", "iw", "ih")))
-    b = regions.select(key, *(F.col(c).alias(f"b_{c}") for c in ("ord", "x", "y", "w", "h")))
-    return a.join(b, key).filter("a_ord < b_ord")
+def _quantile(a: Column, n: Column, p: float) -> Column:
+    """Linear quantile of a sorted array of n > 0 values."""
+    at = (n - 1) * p
+    lo = F.floor(at).cast("int")
+    x, y = F.get(a, lo), F.get(a, F.least(lo + 1, n - 1))
+    return x + (y - x) * (at - lo)
 
 
-def pair_iou(regions: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Mean overlap of all pairs of a key's regions; 0 for a single region."""
-    c = F.col
-    ix = F.greatest(F.lit(0), F.least(c("a_x") + c("a_w"), c("b_x") + c("b_w")) - F.greatest("a_x", "b_x"))
-    iy = F.greatest(F.lit(0), F.least(c("a_y") + c("a_h"), c("b_y") + c("b_h")) - F.greatest("a_y", "b_y"))
-    inter = ix * iy
-    union = c("a_w") * c("a_h") + c("b_w") * c("b_h") - inter
-    mean = _pairs(regions, key).groupBy(key).agg(F.avg(F.coalesce(F.try_divide(inter.cast("double"), union.cast("double")), F.lit(0.0))).alias("v"))
-    return regions.select(key).distinct().join(mean, key, "left").select(key, F.coalesce("v", F.lit(0.0)).alias("mean_iou"))
+def aggregate_wide(df: DataFrame, features: list[str], key: str = "sample_id", stats: tuple[str, ...] = STATS, sep: str = ".") -> DataFrame:
+    """The fixed-width row straight from feature columns: one shuffle on the key, no unpivot and pivot.
 
+    An image's values are gathered into one array (an image bounds its regions) and sorted once for
+    all quantiles, which spares a hash map for each image, feature and quantile.
+    """
+    names = sorted(features)
+    cells = F.struct(*(F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(names)))
+    g = df.groupBy(key).agg(F.collect_list(cells).alias("cells"))
+    fine = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    g = g.select(key, *(F.array_sort(F.filter(F.transform("cells", lambda c: c[f"f{i}"]), fine)).alias(f"a{i}") for i in range(len(names))))  # noqa: B023
+    g = g.select(key, *(F.struct(f"a{i}", (F.aggregate(f"a{i}", F.lit(0.0), lambda t, v: t + v) / F.nullif(F.size(f"a{i}"), F.lit(0))).alias("m")).alias(f"a{i}") for i in range(len(names))))
+    out = []
+    for i, f in enumerate(names):
+        a, m = F.col(f"a{i}.a{i}"), F.col(f"a{i}.m")
+        n = F.size(a)
+        q = {p: F.when(n > 0, _quantile(a, n, p)) for p in (0.1, 0.25, 0.5, 0.75, 0.9)}
+        square = F.aggregate(a, F.struct(m.alias("m"), F.lit(0.0).alias("s")), lambda t, v: F.struct(t["m"].alias("m"), (t["s"] + (v - t["m"]) * (v - t["m"])).alias("s")), lambda t: t["s"])
+        of = {
+            "mean": m, "median": q[0.5], "std": F.when(n > 0, F.sqrt(square / n)), "iqr": q[0.75] - q[0.25], "min": F.get(a, F.lit(0)), "max": F.get(a, n - 1), "p10": q[0.1], "p90": q[0.9],
+        }
+        out += [of[s].alias(f"{f}{sep}{s}") for s in stats]
+    return g.select(key, *out)
 
-def nearest_gap(regions: DataFrame, axis: str, key: str = "sample_id") -> DataFrame:
-    """Least positive gap along ``axis`` of regions that overlap across it, over the image side; keys without one are left out."""
-    c = F.col
+
+# --- layout of an image: its boxes are gathered once (they are bounded by the image), the rest happens inside the row
+
+
+def gathered(regions: DataFrame, key: str = "sample_id") -> DataFrame:
+    """(key, boxes by (y, x, h, w), iw, ih): the only shuffle of all layout measures."""
+    box = F.struct(*(F.col(c).cast("long").alias(c) for c in ("y", "x", "h", "w")))
+    return regions.groupBy(key).agg(F.array_sort(F.collect_list(box)).alias("boxes"), F.max("iw").alias("iw"), F.max("ih").alias("ih"))
+
+
+def _sum(a: Column, f) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
+
+
+def _over_pairs(start: Column, f) -> Column:
+    """Fold f(state, a, b) over all pairs of boxes, the earlier one first."""
+    n = F.size("boxes")
+    first = F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))
+    rest = lambda i: F.slice("boxes", i + 2, n)
+    return F.aggregate(first, start, lambda s, i: F.aggregate(rest(i), s, lambda t, b: f(t, F.get("boxes", i), b)))
+
+
+def _iou(a: Column, b: Column) -> Column:
+    ix = F.greatest(F.lit(0), F.least(a["x"] + a["w"], b["x"] + b["w"]) - F.greatest(a["x"], b["x"]))
+    iy = F.greatest(F.lit(0), F.least(a["y"] + a["h"], b["y"] + b["h"]) - F.greatest(a["y"], b["y"]))
+    inter = (ix * iy).cast("double")
+    return F.coalesce(F.try_divide(inter, a["w"] * a["h"] + b["w"] * b["h"] - inter), F.lit(0.0))
+
+
+def mean_iou() -> Column:
+    """Mean overlap of all pairs; 0 for a single region."""
+    n = F.size("boxes")
+    return _over_pairs(F.lit(0.0), lambda s, a, b: s + _iou(a, b)) / F.greatest(F.lit(1), n * (n - 1) / 2)
+
+
+def least_gap(axis: str) -> Column:
+    """Least positive gap along ``axis`` of boxes that overlap across it, over the image side; null if there is none."""
     p, s, q, r, side = ("x", "w", "y", "h", "iw") if axis == "x" else ("y", "h", "x", "w", "ih")
-    across = (c(f"a_{q}") < c(f"b_{q}") + c(f"b_{r}")) & (c(f"b_{q}") < c(f"a_{q}") + c(f"a_{r}"))
-    gap = F.greatest(c(f"b_{p}") - (c(f"a_{p}") + c(f"a_{s}")), c(f"a_{p}") - (c(f"b_{p}") + c(f"b_{s}")))
-    near = _pairs(regions, key).filter(across).withColumn("gap", gap).filter("gap > 0")
-    return near.groupBy(key).agg(F.min(c("gap") / F.greatest(F.lit(1), c(f"a_{side}"))).alias("gap"))
 
+    def step(state: Column, a: Column, b: Column) -> Column:
+        across = (a[q] < b[q] + b[r]) & (b[q] < a[q] + a[r])
+        gap = F.greatest(b[p] - (a[p] + a[s]), a[p] - (b[p] + b[s]))
+        return F.when(across & (gap > 0), F.least(state, gap)).otherwise(state)
+
+    return _over_pairs(F.lit(None).cast("long"), step) / F.greatest(F.lit(1), F.col(side))
 
-def union_area(regions: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Covered share of the image by half-open boxes: coordinate compression inside one row, no self-join."""
-    box = F.struct("x", "y", (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"))
-    g = regions.groupBy(key).agg(F.collect_list(box).alias("boxes"), F.max(F.greatest(F.lit(1), F.col("iw") * F.col("ih"))).alias("whole"))
-    xs = F.array_sort(F.array_distinct(F.flatten(F.transform("boxes", lambda b: F.array(b["x"], b["x1"])))))
-    g = g.withColumn("xs", xs)
+
+def covered() -> Column:
+    """Covered share of the image by half-open boxes, by strips between x edges; needs a column xs of these."""
 
     def strip(i: Column) -> Column:
         x0, x1 = F.get("xs", i), F.get("xs", i + 1)
-        inside = F.array_sort(F.transform(F.filter("boxes", lambda b: (b["x"] <= x0) & (b["x1"] >= x1)), lambda b: F.struct(b["y"].alias("y"), b["y1"].alias("y1"))))
+        inside = F.filter("boxes", lambda b: (b["x"] <= x0) & (b["x"] + b["w"] >= x1))  # still by y
         start = F.struct(F.lit(-1).cast("long").alias("end"), F.lit(0).cast("long").alias("len"))
         cover = F.aggregate(
             inside, start,
             lambda s, b: F.struct(
-                F.greatest(s["end"], b["y1"].cast("long")).alias("end"),
-                (s["len"] + F.greatest(F.lit(0).cast("long"), b["y1"].cast("long") - F.greatest(s["end"], b["y"].cast("long")))).alias("len"),
+                F.greatest(s["end"], b["y"] + b["h"]).alias("end"),
+                (s["len"] + F.greatest(F.lit(0).cast("long"), b["y"] + b["h"] - F.greatest(s["end"], b["y"]))).alias("len"),
             ),
             lambda s: s["len"],
         )
         return cover * (x1 - x0)
 
-    area = F.aggregate(F.sequence(F.lit(0), F.size("xs") - 2), F.lit(0).cast("long"), lambda s, i: s + strip(i).cast("long"))
-    return g.select(key, (area / F.col("whole")).alias("union_coverage"))
+    area = F.aggregate(F.sequence(F.lit(0), F.size("xs") - 2), F.lit(0).cast("long"), lambda s, i: s + strip(i))
+    return area / F.greatest(F.lit(1), F.col("iw") * F.col("ih"))
+
+
+def _edges(g: DataFrame) -> DataFrame:
+    return g.withColumn("xs", F.array_sort(F.array_distinct(F.flatten(F.transform("boxes", lambda b: F.array(b["x"], b["x"] + b["w"]))))))
+
+
+def spread(p: str, s: str, side: str, fixed_centroid: bool = False) -> Column:
+    """Population spread of (p + s) / 2 over the image side, as published; ``fixed_centroid`` takes p + s / 2."""
+    mid = lambda b: (b[p] + b[s] / 2 if fixed_centroid else (b[p] + b[s]) / 2) / F.greatest(F.lit(1), F.col(side))
+    n = F.size("boxes")
+    mean = _sum(F.col("boxes"), mid) / n
+    start = F.struct(mean.alias("m"), F.lit(0.0).alias("s"))
+    total = F.aggregate("boxes", start, lambda t, b: F.struct(t["m"].alias("m"), (t["s"] + (mid(b) - t["m"]) * (mid(b) - t["m"])).alias("s")), lambda t: t["s"])
+    return F.sqrt(total / n)
+
+
+def pair_iou(regions: DataFrame, key: str = "sample_id") -> DataFrame:
+    return gathered(regions, key).select(key, mean_iou().alias("mean_iou"))
+
+
+def nearest_gap(regions: DataFrame, axis: str, key: str = "sample_id") -> DataFrame:
+    """(key, gap); keys without one are left out."""
+    return gathered(regions, key).select(key, least_gap(axis).alias("gap")).filter("gap is not null")
+
+
+def union_area(regions: DataFrame, key: str = "sample_id") -> DataFrame:
+    return _edges(gathered(regions, key)).select(key, covered().alias("union_coverage"))
 
 
 def density(regions: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -117,24 +192,14 @@ def density(regions: DataFrame, key: str = "sample_id") -> DataFrame:
 
 
 def centroid_dispersion(regions: DataFrame, key: str = "sample_id", fixed_centroid: bool = False) -> DataFrame:
-    """Population spread of (x + w) / 2 over the image side, as published; ``fixed_centroid`` takes x + w / 2."""
-
-    def spread(p: str, s: str, side: str) -> Column:
-        mid = F.col(p) + F.col(s) / 2 if fixed_centroid else (F.col(p) + F.col(s)) / 2
-        return F.stddev_pop(mid / F.greatest(F.lit(1), F.col(side)))
-
-    return regions.groupBy(key).agg(spread("x", "w", "iw").alias("dispersion_x"), spread("y", "h", "ih").alias("dispersion_y"))
+    g = gathered(regions, key)
+    return g.select(key, spread("x", "w", "iw", fixed_centroid).alias("dispersion_x"), spread("y", "h", "ih", fixed_centroid).alias("dispersion_y"))
 
 
-def row_alignment(regions: DataFrame, key: str = "sample_id", tolerance: float = 0.02) -> DataFrame:
-    """Mean distance of centres from the mean of their row.
-
-    Centres (y + h) / 2 over the image height are taken in order; each joins the first row whose
-    running mean is within ``tolerance``. Rows are a fold over one array per image.
-    """
-    v = (F.col("y") + F.col("h")) / 2 / F.greatest(F.lit(1), F.col("ih"))
-    g = regions.groupBy(key).agg(F.array_sort(F.collect_list(v)).alias("vs"))
-    rows = F.array().cast("array<struct<sum:double,n:int,vs:array<double>>>")
+def _with_rows(g: DataFrame, tolerance: float) -> DataFrame:
+    """Add rows: centres (y + h) / 2 over the image height, each in the first row whose running mean is within ``tolerance``."""
+    vs = F.array_sort(F.transform("boxes", lambda b: (b["y"] + b["h"]) / 2 / F.greatest(F.lit(1), F.col("ih"))))
+    none = F.array().cast("array<struct<sum:double,n:int,vs:array<double>>>")
 
     def join(rs: Column, x: Column) -> Column:
         near = lambda r: F.abs(x - r["sum"] / r["n"]) <= tolerance
@@ -145,20 +210,31 @@ def row_alignment(regions: DataFrame, key: str = "sample_id", tolerance: float =
         fresh = F.concat(rs, F.array(F.struct(x.alias("sum"), F.lit(1).alias("n"), F.array(x).alias("vs"))))
         return F.when(hit > 0, grown).otherwise(fresh)
 
-    g = g.withColumn("rows", F.aggregate("vs", rows, join))
+    return g.withColumn("rows", F.aggregate(vs, none, join))
+
+
+def row_error() -> Column:
+    """Mean distance of the centres from the mean of their row; needs a column rows."""
     off = F.flatten(F.transform("rows", lambda r: F.transform(r["vs"], lambda x: F.abs(x - r["sum"] / r["n"]))))
-    return g.select(key, (F.aggregate(off, F.lit(0.0), lambda s, x: s + x) / F.size(off)).alias("row_error"))
+    return _sum(off, lambda x: x) / F.size("boxes")
+
+
+def row_alignment(regions: DataFrame, key: str = "sample_id", tolerance: float = 0.02) -> DataFrame:
+    return _with_rows(gathered(regions, key), tolerance).select(key, row_error().alias("row_error"))
 
 
 def image_row(regions: DataFrame, images: DataFrame, key: str = "sample_id") -> DataFrame:
-    """All box-based columns of an image's row; images without regions have nulls and no_detection 1."""
-    agg = aggregate_long(to_long(geometry_features(regions), [key], list(GEOMETRY)), key)
-    wide = wide_row(agg, list(GEOMETRY), key)
-    parts = [
-        wide, density(regions, key), union_area(regions, key), pair_iou(regions, key), centroid_dispersion(regions, key), row_alignment(regions, key),
-        nearest_gap(regions, "x", key).withColumnRenamed("gap", "nearest_gap_x"), nearest_gap(regions, "y", key).withColumnRenamed("gap", "nearest_gap_y"),
-    ]
-    out = images.select(key).distinct()
-    for p in parts:
-        out = out.join(p, key, "left")
+    """All box-based columns of an image's row; images without regions have nulls and no_detection 1.
+
+    Three exchanges of regions and images on the key in all: statistics, gathered boxes, image ids.
+    """
+    wide = aggregate_wide(geometry_features(regions), list(GEOMETRY), key)
+    g = _with_rows(_edges(gathered(regions, key)), 0.02)
+    whole = F.greatest(F.lit(1), F.col("iw") * F.col("ih"))
+    layout = g.select(
+        key, F.size("boxes").cast("long").alias("region_count"), (F.aggregate("boxes", F.lit(0).cast("long"), lambda s, b: s + b["w"] * b["h"]) / whole).alias("area_sum_ratio"),
+        covered().alias("union_coverage"), mean_iou().alias("mean_iou"), spread("x", "w", "iw").alias("dispersion_x"), spread("y", "h", "ih").alias("dispersion_y"),
+        row_error().alias("row_error"), least_gap("x").alias("nearest_gap_x"), least_gap("y").alias("nearest_gap_y"),
+    )
+    out = images.select(key).distinct().join(layout, key, "left").join(wide, key, "left")
     return out.withColumn("no_detection", F.col("region_count").isNull().cast("int")).withColumn("region_count", F.coalesce("region_count", F.lit(0)))

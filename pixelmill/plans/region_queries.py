@@ -27,8 +27,13 @@ def region_agg8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def region_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long_ = R.to_long(R.geometry_features(regions(spark, sf_dir)), ["sample_id"], list(R.GEOMETRY))
-    return rounded(R.wide_row(R.aggregate_long(long_), list(R.GEOMETRY), sep="_"), DIGITS)
+    return rounded(R.aggregate_wide(R.geometry_features(regions(spark, sf_dir)), list(R.GEOMETRY), sep="_"), DIGITS)
+
+
+def region_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same row by a pivot of the long table."""
+    long_ = R.to_long(R.geometry_features(regions(spark, sf_dir)), ["sample_id"], ["aspect_ratio", "center_y"])
+    return rounded(R.wide_row(R.aggregate_long(long_), ["aspect_ratio", "center_y"], stats=("mean", "max"), sep="_"), DIGITS)
 
 
 def pilot_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,27 +42,27 @@ def pilot_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(R.pair_iou(regions(spark, sf_dir)))
+    return rounded(R.pair_iou(regions(spark, sf_dir)), DIGITS)
 
 
 def nearest_gap_h(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(R.nearest_gap(regions(spark, sf_dir), "x"))
+    return rounded(R.nearest_gap(regions(spark, sf_dir), "x"), DIGITS)
 
 
 def nearest_gap_v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(R.nearest_gap(regions(spark, sf_dir), "y"))
+    return rounded(R.nearest_gap(regions(spark, sf_dir), "y"), DIGITS)
 
 
 def union_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(R.union_area(regions(spark, sf_dir)))
+    return rounded(R.union_area(regions(spark, sf_dir)), DIGITS)
 
 
 def region_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(R.density(regions(spark, sf_dir)))
+    return rounded(R.density(regions(spark, sf_dir)), DIGITS)
 
 
 def centroid_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(R.centroid_dispersion(regions(spark, sf_dir)))
+    return rounded(R.centroid_dispersion(regions(spark, sf_dir)), DIGITS)
 
 
 def row_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +72,7 @@ def row_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def image_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     images = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sample_id"))
     out = R.image_row(regions(spark, sf_dir), images)
-    return rounded(out.select("sample_id", "region_count", "area_sum_ratio", "union_coverage", "mean_iou", "dispersion_x", "dispersion_y", "nearest_gap_x", "nearest_gap_y", "no_detection"))
+    return rounded(out.select("sample_id", "region_count", "area_sum_ratio", "union_coverage", "mean_iou", "dispersion_x", "dispersion_y", "nearest_gap_x", "nearest_gap_y", "no_detection"), DIGITS)
 
 
 def box_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +95,7 @@ def region_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        geometry_features, region_agg8, region_wide, pilot_aggregate, pair_iou, nearest_gap_h, nearest_gap_v, union_area, region_density, centroid_dispersion,
+        geometry_features, region_agg8, region_wide, region_pivot, pilot_aggregate, pair_iou, nearest_gap_h, nearest_gap_v, union_area, region_density, centroid_dispersion,
         row_alignment, image_layout, box_padding, box_clip, region_histogram,
     )
 }
@@ -123,13 +128,13 @@ def _gap(p: str, s: str, q: str, r: str, side: str) -> str:
     return f"""WITH {REGIONS_SQL}, {PAIRS_SQL},
 gaps AS (SELECT sample_id, greatest({n(b, p)} - ({n(a, p)} + {n(a, s)}), {n(a, p)} - ({n(b, p)} + {n(b, s)})) AS g, {side} AS side FROM pairs
          WHERE {n(a, q)} < {n(b, q)} + {n(b, r)} AND {n(b, q)} < {n(a, q)} + {n(a, r)})
-SELECT sample_id, round(min(CAST(g AS DOUBLE) / side), 6) AS gap FROM gaps WHERE g > 0 GROUP BY sample_id"""
+SELECT sample_id, round(min(CAST(g AS DOUBLE) / side), 11) AS gap FROM gaps WHERE g > 0 GROUP BY sample_id"""
 
 
 IOU_SQL = f"""WITH {REGIONS_SQL}, {PAIRS_SQL},
 inter AS (SELECT *, greatest(0, least(ax + aw, bx + bw) - greatest(ax, bx)) * greatest(0, least(ay + ah, "by" + bh) - greatest(ay, "by")) AS i FROM pairs),
 mean AS (SELECT sample_id, avg(CAST(i AS DOUBLE) / (aw * ah + bw * bh - i)) AS v FROM inter GROUP BY sample_id)
-SELECT k.sample_id, round(coalesce(v, 0.0::DOUBLE), 6) AS mean_iou FROM (SELECT DISTINCT sample_id FROM regions) k LEFT JOIN mean USING (sample_id)"""
+SELECT k.sample_id, round(coalesce(v, 0.0::DOUBLE), 11) AS mean_iou FROM (SELECT DISTINCT sample_id FROM regions) k LEFT JOIN mean USING (sample_id)"""
 UNION_SQL = f"""WITH {REGIONS_SQL},
 xs AS (SELECT sample_id, x AS e FROM regions UNION SELECT sample_id, x + w FROM regions),
 ys AS (SELECT sample_id, y AS e FROM regions UNION SELECT sample_id, y + h FROM regions),
@@ -137,9 +142,9 @@ xi AS (SELECT sample_id, e AS x0, lead(e) OVER (PARTITION BY sample_id ORDER BY
 yi AS (SELECT sample_id, e AS y0, lead(e) OVER (PARTITION BY sample_id ORDER BY e) AS y1 FROM ys),
 cells AS (SELECT xi.sample_id, x0, x1, y0, y1 FROM xi JOIN yi ON xi.sample_id = yi.sample_id AND x1 IS NOT NULL AND y1 IS NOT NULL),
 covered AS (SELECT * FROM cells c WHERE EXISTS (SELECT 1 FROM regions r WHERE r.sample_id = c.sample_id AND r.x <= x0 AND r.x + r.w >= x1 AND r.y <= y0 AND r.y + r.h >= y1))
-SELECT sample_id, round(CAST(sum((x1 - x0) * (y1 - y0)) AS DOUBLE) / (1024 * 1536), 6) AS union_coverage FROM covered GROUP BY sample_id"""
-DENSITY_SQL = "SELECT sample_id, count(*) AS region_count, round(CAST(sum(w * h) AS DOUBLE) / (1024 * 1536), 6) AS area_sum_ratio FROM regions GROUP BY sample_id"
-DISPERSION_SQL = """SELECT sample_id, round(stddev_pop(CAST(x + w AS DOUBLE) / 2 / iw), 6) AS dispersion_x, round(stddev_pop(CAST(y + h AS DOUBLE) / 2 / ih), 6) AS dispersion_y
+SELECT sample_id, round(CAST(sum((x1 - x0) * (y1 - y0)) AS DOUBLE) / (1024 * 1536), 11) AS union_coverage FROM covered GROUP BY sample_id"""
+DENSITY_SQL = "SELECT sample_id, count(*) AS region_count, round(CAST(sum(w * h) AS DOUBLE) / (1024 * 1536), 11) AS area_sum_ratio FROM regions GROUP BY sample_id"
+DISPERSION_SQL = """SELECT sample_id, round(stddev_pop(CAST(x + w AS DOUBLE) / 2 / iw), 11) AS dispersion_x, round(stddev_pop(CAST(y + h AS DOUBLE) / 2 / ih), 11) AS dispersion_y
 FROM regions GROUP BY sample_id"""
 PAD_SQL = f"""WITH {REGIONS_SQL},
 pad AS (SELECT *, CAST(round_even(w * 0.05::DOUBLE, 0) AS INT) AS px, CAST(round_even(h * 0.05::DOUBLE, 0) AS INT) AS py FROM regions),
@@ -158,6 +163,7 @@ ORACLE = {
     "geometry_features": f"""WITH {FEATURES_SQL} SELECT sample_id, format('{{}}-r{{:03d}}', sample_id, ord) AS region_id, {', '.join(f'round({f}, 6) AS {f}' for f in R.GEOMETRY)} FROM features""",
     "region_agg8": f"WITH {FEATURES_SQL} SELECT sample_id, feature, {_stats('value', R.STATS)}, count(value) AS valid_count FROM long GROUP BY sample_id, feature",
     "region_wide": f"WITH {FEATURES_SQL} SELECT sample_id, {WIDE_COLUMNS} FROM features GROUP BY sample_id",
+    "region_pivot": f"""WITH {FEATURES_SQL} SELECT sample_id, {", ".join(f"round({STAT_SQL[s].format(v=f)}, {DIGITS}) AS {f}_{s}" for f in ("aspect_ratio", "center_y") for s in ("mean", "max"))} FROM features GROUP BY sample_id""",
     "pilot_aggregate": f"WITH {FEATURES_SQL} SELECT sample_id, feature, {_stats('value', ('mean', 'std', 'min', 'max', 'median'))}, count(value) AS valid_count FROM long WHERE feature IN ('area_ratio', 'aspect_ratio') GROUP BY sample_id, feature",
     "pair_iou": IOU_SQL,
     "nearest_gap_h": _gap("x", "w", "y", "h", "iw"),
