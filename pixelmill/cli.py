@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from pixelmill.functions.kernels import detect_dark
 from pixelmill.operators import dedup, features, models, regions, splits
-from pixelmill.sources import images, manifest, sinks
+from pixelmill.sources import images, manifest, prepare, sinks
 
-DEFAULTS = {"seed": 42, "near_distance": 4, "groups": list(features.REGION_FEATURES), "candidates": "full"}
+DEFAULTS = {"seed": 42, "width": 1024, "height": 1536, "near_distance": 4, "groups": list(features.REGION_FEATURES), "candidates": "full"}
 
 
 def merged(base: dict, over: dict) -> dict:
@@ -42,6 +42,10 @@ def wide_features(spark: SparkSession, long_: DataFrame, samples: DataFrame, gro
     return out.withColumn(features.INDICATOR, F.col("__seen").isNull().cast("double")).drop("__seen")
 
 
+def cmd_prepare(spark: SparkSession, a: argparse.Namespace, config: dict) -> dict:
+    return prepare.prepare(spark, a.root, {"non_ai_generated": a.real, "ai_generated": a.ai}, a.out, seed=config["seed"], width=config["width"], height=config["height"])
+
+
 def cmd_validate(spark: SparkSession, a: argparse.Namespace, config: dict) -> dict:
     m = manifest.load(spark, a.manifest).cache()
     dups = dedup.duplicate_groups(m, "sha256", "sample_id")
@@ -99,6 +103,7 @@ def cmd_predict(spark: SparkSession, a: argparse.Namespace, config: dict) -> dic
 
 
 COMMANDS = {
+    "prepare-dataset": (cmd_prepare, ["root", "real", "ai"]),
     "validate-data": (cmd_validate, ["manifest"]), "create-splits": (cmd_split, ["manifest"]), "extract-features": (cmd_extract, ["root", "real", "ai"]),
     "train": (cmd_train, ["features", "splits"]), "evaluate": (cmd_evaluate, ["features", "splits", "model"]), "predict": (cmd_predict, ["image", "model"]),
 }

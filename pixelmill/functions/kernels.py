@@ -323,3 +323,44 @@ def detect_dark(g: np.ndarray, below: int = 180, least: int = 4) -> list[np.ndar
         if len(ys) >= least and w >= 2 and h >= 2:
             out.append((y, x, w, h))
     return [np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h)], float) for y, x, w, h in sorted(out)]
+
+
+def resize_lanczos(img: np.ndarray, height: int, width: int, taps: int = 3) -> np.ndarray:
+    """Windowed-sinc resize of a gray or colour image, widened to the scale when shrinking."""
+
+    def weights(m: int, n: int) -> np.ndarray:
+        scale = max(1.0, m / n)
+        x = (np.arange(m)[None, :] - ((np.arange(n) + 0.5) * m / n - 0.5)[:, None]) / scale
+        w = np.where(np.abs(x) < taps, np.sinc(x) * np.sinc(x / taps), 0)
+        return w / w.sum(axis=1, keepdims=True)
+
+    out = np.tensordot(weights(img.shape[0], height), img.astype(np.float64), axes=(1, 0))
+    out = np.moveaxis(np.tensordot(weights(img.shape[1], width), out, axes=(1, 1)), 0, 1)
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
+def clahe(g: np.ndarray, clip: float = 2.0, tiles: int = 8) -> np.ndarray:
+    """Contrast-limited equalisation: clipped histograms of tiles, maps blended between tile centres."""
+    h, w = g.shape
+    th, tw = -(-h // tiles), -(-w // tiles)
+    p = np.pad(g, ((0, th * tiles - h), (0, tw * tiles - w)), mode="symmetric" if min(g.shape) >= tiles else "edge")
+    most = max(1, int(clip * th * tw / 256))
+    maps = np.empty((tiles, tiles, 256))
+    for i in range(tiles):
+        for j in range(tiles):
+            n = np.bincount(p[i * th : (i + 1) * th, j * tw : (j + 1) * tw].ravel(), minlength=256)
+            over = np.maximum(n - most, 0).sum()
+            n = np.minimum(n, most) + over / 256
+            maps[i, j] = np.clip(np.cumsum(n) * 255 / (th * tw), 0, 255)
+    y, x = (np.arange(h) + 0.5) / th - 0.5, (np.arange(w) + 0.5) / tw - 0.5
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    fy, fx = (y - y0)[:, None], (x - x0)[None, :]
+    at = lambda a, b: maps[np.clip(a, 0, tiles - 1)[:, None], np.clip(b, 0, tiles - 1)[None, :], g]
+    top = at(y0, x0) * (1 - fx) + at(y0, x0 + 1) * fx
+    low = at(y0 + 1, x0) * (1 - fx) + at(y0 + 1, x0 + 1) * fx
+    return np.clip(np.rint(top * (1 - fy) + low * fy), 0, 255).astype(np.uint8)
+
+
+def restore(points: np.ndarray, scale_x: float, scale_y: float) -> np.ndarray:
+    """Points of a resized image in the source image."""
+    return np.asarray(points, float) / np.array([scale_x, scale_y])

@@ -524,3 +524,60 @@ def test_extract_train_evaluate_predict(spark, tmp_path):
     assert go("predict", "--image", f"{root}/real/0.png", "--model", f"{tmp_path}/m", "--out", f"{tmp_path}/p") == 0
     assert go("predict", "--image", f"{root}/absent.png", "--model", f"{tmp_path}/m", "--out", f"{tmp_path}/q") == 2
     assert json.load(open(f"{tmp_path}/q/run_manifest.json"))["status"] == "failed"
+
+
+# --- preparation and reviews ------------------------------------------------------------------------------
+
+
+def test_prepare_dataset(spark, tmp_path):
+    from pixelmill.sources import prepare as PR
+
+    rng = np.random.default_rng(9)
+    root = f"{tmp_path}/dataset"
+    for d, names in (("0_real", ["same.png", "two.png", "copy.png"]), ("1_fake", ["same.png", "two.png", "bad.png"])):
+        os.makedirs(f"{root}/{d}")
+        for n in names:
+            smooth = K.resize_lanczos(rng.integers(0, 256, (6, 4, 3), dtype=np.uint8), 60, 40)
+            open(f"{root}/{d}/{n}", "wb").write(b"broken" if n == "bad.png" else I.encode_png(smooth))
+    open(f"{root}/0_real/copy.png", "wb").write(open(f"{root}/0_real/two.png", "rb").read())
+    open(f"{root}/notes.json", "w").write("{}")
+    got = PR.prepare(spark, root, {"non_ai_generated": "0_real", "ai_generated": "1_fake"}, f"{tmp_path}/out", width=32, height=48)
+    assert got == {"files": 6, "skipped": 1, "decode_failures": 1, "included": 2, "excluded": 2, "review": 1}
+    m = MF.load(spark, f"{tmp_path}/out/manifest")
+    assert m.filter("inclusion_status = 'included'").select("label").distinct().count() == 2
+    img = spark.read.parquet(f"{tmp_path}/out/images").collect()
+    assert len(img) == 2 and all(I.decode_png(r["png"]).shape == (48, 32, 3) for r in img)
+    inv = {r["path"].rsplit("/", 1)[1]: r for r in PR.inventory(MF.class_folders(spark, root, {"ai_generated": "1_fake"})).collect()}
+    assert (inv["same.png"]["format"], inv["same.png"]["width"], inv["same.png"]["height"], inv["same.png"]["aspect"]) == ("PNG", 40, 60, 0.666667)
+    assert inv["bad.png"]["status"] == "unreadable"
+
+
+def test_headers_of_other_formats():
+    from pixelmill.sources.prepare import image_header
+
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x78\x00\x50\x03" + b"\x00" * 20
+    assert image_header(jpeg) == ("JPEG", "RGB", 80, 120)
+    webp = b"RIFF\x00\x00\x00\x00WEBPVP8X\x0a\x00\x00\x00\x00\x00\x00\x00" + (79).to_bytes(3, "little") + (119).to_bytes(3, "little")
+    assert image_header(webp) == ("WEBP", "RGB", 80, 120)
+    assert image_header(b"") == (None, None, None, None)
+
+
+def test_reviews_and_summaries(spark):
+    from pixelmill.operators import review as RV
+
+    p = spark.createDataFrame([("a", 1, 0, 0.1, "a" * 64), ("b", 0, 0, 0.2, "b" * 64), ("c", 0, 1, 0.9, "c" * 64)], "sample_id string, true_label int, predicted_label int, score double, input_sha256 string")
+    r = spark.createDataFrame([("a", 1, 0), ("a", 1, 0), ("b", 0, 1)], "sample_id string, true_label int, predicted_label int")
+    assert {tuple(x) for x in RV.review_mismatches(p, r).collect()} == {("a", "listed twice"), ("b", "not an error"), ("c", "not listed")}
+    ab = spark.createDataFrame([("all_enabled", 0.9, 0.8), ("texture", 0.8, 0.6)], "feature_group string, test_f1 double, test_accuracy double")
+    assert {x["feature_group"]: round(x["delta_f1"], 6) for x in RV.group_summary(ab).collect()} == {"all_enabled": 0.0, "texture": -0.1}
+    assert RV.reuse_checksums(p.withColumn("input_sha256", F.lit("")), p).filter("sample_id = 'b'").first()["input_sha256"] == "b" * 64
+    with pytest.raises(ValueError, match="runs differ"):
+        RV.reuse_checksums(p, p.filter("sample_id <> 'a'"))
+
+
+def test_clahe_and_lanczos():
+    g = np.tile(np.arange(100, 140, dtype=np.uint8), (40, 1))
+    out = K.clahe(g)
+    assert out.shape == g.shape and out.std() > g.std()
+    assert np.array_equal(K.resize_lanczos(g, 40, 40), g) and K.resize_lanczos(np.full((9, 7), 50, np.uint8), 20, 31).tolist() == [[50] * 31] * 20
+    assert K.restore(np.array([(4, 4), (16, 12)]), 2, 2).tolist() == [[2, 2], [8, 6]]
