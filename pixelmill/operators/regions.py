@@ -67,11 +67,11 @@ def _quantile(a: Column, n: Column, p: float) -> Column:
     return x + (y - x) * (at - lo)
 
 
-def aggregate_wide(df: DataFrame, features: list[str], key: str = "sample_id", stats: tuple[str, ...] = STATS, sep: str = ".") -> DataFrame:
-    """The fixed-width row straight from feature columns: one shuffle on the key, no unpivot and pivot.
+def _gathered_stats(df: DataFrame, features: list[str], key: str) -> tuple[DataFrame, list[str], list[dict[str, Column]]]:
+    """(a row for each key, sorted feature names, their statistics as columns of it).
 
-    An image's values are gathered into one array (an image bounds its regions) and sorted once for
-    all quantiles, which spares a hash map for each image, feature and quantile.
+    An image's values are gathered into one array (an image bounds its regions) by one shuffle and
+    sorted once for all quantiles, which spares a hash map for each image, feature and quantile.
     """
     names = sorted(features)
     cells = F.struct(*(F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(names)))
@@ -80,16 +80,29 @@ def aggregate_wide(df: DataFrame, features: list[str], key: str = "sample_id", s
     g = g.select(key, *(F.array_sort(F.filter(F.transform("cells", lambda c: c[f"f{i}"]), fine)).alias(f"a{i}") for i in range(len(names))))  # noqa: B023
     g = g.select(key, *(F.struct(f"a{i}", (F.aggregate(f"a{i}", F.lit(0.0), lambda t, v: t + v) / F.nullif(F.size(f"a{i}"), F.lit(0))).alias("m")).alias(f"a{i}") for i in range(len(names))))
     out = []
-    for i, f in enumerate(names):
+    for i in range(len(names)):
         a, m = F.col(f"a{i}.a{i}"), F.col(f"a{i}.m")
         n = F.size(a)
         q = {p: F.when(n > 0, _quantile(a, n, p)) for p in (0.1, 0.25, 0.5, 0.75, 0.9)}
         square = F.aggregate(a, F.struct(m.alias("m"), F.lit(0.0).alias("s")), lambda t, v: F.struct(t["m"].alias("m"), (t["s"] + (v - t["m"]) * (v - t["m"])).alias("s")), lambda t: t["s"])
-        of = {
-            "mean": m, "median": q[0.5], "std": F.when(n > 0, F.sqrt(square / n)), "iqr": q[0.75] - q[0.25], "min": F.get(a, F.lit(0)), "max": F.get(a, n - 1), "p10": q[0.1], "p90": q[0.9],
-        }
-        out += [of[s].alias(f"{f}{sep}{s}") for s in stats]
-    return g.select(key, *out)
+        out.append({
+            "mean": m, "median": q[0.5], "std": F.when(n > 0, F.sqrt(square / n)), "iqr": q[0.75] - q[0.25], "min": F.get(a, F.lit(0)), "max": F.get(a, n - 1),
+            "p10": q[0.1], "p90": q[0.9], "valid_count": n.cast("long"),
+        })
+    return g, names, out
+
+
+def aggregate_wide(df: DataFrame, features: list[str], key: str = "sample_id", stats: tuple[str, ...] = STATS, sep: str = ".") -> DataFrame:
+    """The fixed-width row straight from feature columns: no unpivot and pivot."""
+    g, names, of = _gathered_stats(df, features, key)
+    return g.select(key, *(c[s].alias(f"{f}{sep}{s}") for f, c in zip(names, of, strict=True) for s in stats))
+
+
+def aggregate_features(df: DataFrame, features: list[str], key: str = "sample_id", stats: tuple[str, ...] = STATS) -> DataFrame:
+    """(key, feature, statistics, valid_count) from feature columns; the same as aggregate_long of their long form."""
+    g, names, of = _gathered_stats(df, features, key)
+    rows = F.array(*(F.struct(F.lit(f).alias("feature"), *(c[s].alias(s) for s in (*stats, "valid_count"))) for f, c in zip(names, of, strict=True)))
+    return g.select(key, F.inline(rows))
 
 
 # --- layout of an image: its boxes are gathered once (they are bounded by the image), the rest happens inside the row

@@ -22,8 +22,7 @@ def geometry_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def region_agg8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long_ = R.to_long(R.geometry_features(regions(spark, sf_dir)), ["sample_id"], list(R.GEOMETRY))
-    return rounded(R.aggregate_long(long_), DIGITS)
+    return rounded(R.aggregate_features(R.geometry_features(regions(spark, sf_dir)), list(R.GEOMETRY)), DIGITS)
 
 
 def region_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
