@@ -17,8 +17,13 @@ WIDTH = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 TOP = (1 << 60) - 1
 
 
+SMALL = np.frexp(np.arange(1 << 16, dtype=np.float32))[1].astype(np.uint8)  # bit lengths
+
+
 def _bits(v: np.ndarray) -> np.ndarray:
     """Bit length of each value (64-bit safe)."""
+    if not len(v) or v.max() < len(SMALL):
+        return SMALL[v.astype(np.uint16)]
     hi, lo = (v >> U(32)).astype(np.float64), (v & U(0xFFFFFFFF)).astype(np.float64)
     n = np.frexp(lo)[1]
     return np.where(hi > 0, 32 + np.frexp(hi)[1], n).astype(np.uint8)
@@ -30,11 +35,14 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     blocks = -(-n // BLOCK)
     if not blocks:
         return np.zeros(0, U), np.zeros(1, np.int64)
-    v = np.zeros((blocks, BLOCK + 240), U)
-    flat = np.zeros(blocks * BLOCK, U)
+    stride = BLOCK + 240
+    flat = np.zeros(blocks * BLOCK, np.asarray(ids).dtype)
     flat[:n] = ids
+    v = np.zeros((blocks, stride), flat.dtype)
     v[:, :BLOCK] = flat.reshape(blocks, BLOCK)
-    width = _bits(v)
+    width = np.zeros(v.shape, np.uint8)
+    width[:, :BLOCK] = _bits(flat).reshape(blocks, BLOCK)
+    v = v.ravel()
     # widest value among the next c, by doubling
     reach, c = {1: width}, 1
     while c < 128:
@@ -48,20 +56,18 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = reach[p].copy()
         if k > p:
             w[:, : -(k - p)] = np.maximum(w[:, : -(k - p)], reach[p][:, k - p :])
-        sel[w <= WIDTH[s]] = s
+        np.copyto(sel, np.uint8(s), where=w <= WIDTH[s])
     # follow all blocks side by side
-    length = np.minimum(BLOCK, n - np.arange(blocks) * BLOCK)
-    pos, live, at, who = np.zeros(blocks, np.int64), np.arange(blocks), [], []
-    while len(live):
-        at.append(pos[live])
-        who.append(live)
-        pos[live] += COUNT[sel[live, pos[live]]]
-        live = live[pos[live] < length[live]]
-    at, who = np.concatenate(at), np.concatenate(who)
-    order = np.lexsort((at, who))
-    at, who = at[order], who[order]
-    s = sel[who, at]
-    escape = (s == 15) & (v[who, at] >= U(TOP))
+    end = np.arange(blocks) * stride + np.minimum(BLOCK, n - np.arange(blocks) * BLOCK)
+    step, pos, at = COUNT.astype(np.int16)[sel].ravel(), np.arange(blocks) * stride, []
+    while len(pos):
+        at.append(pos)
+        pos = pos + step[pos]
+        more = pos < end
+        pos, end = pos[more], end[more]
+    at = np.sort(np.concatenate(at))
+    who, s = at // stride, sel.ravel()[at]
+    escape = (s == 15) & (v[at] >= TOP) if v.dtype.itemsize == 8 else np.zeros(len(at), bool)
     slot = np.arange(len(at)) + np.cumsum(escape) - escape
     words = np.zeros(len(at) + int(escape.sum()), U)
     for k in range(16):
@@ -69,10 +75,10 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         word = np.full(len(mine), k << 60, U)
         if WIDTH[k]:
             for j in range(COUNT[k]):
-                word |= v[who[mine], at[mine] + j] << U(j * int(WIDTH[k]))
+                word |= v[at[mine] + j].astype(U) << U(j * int(WIDTH[k]))
         words[slot[mine]] = word
     words[slot[escape]] = U(15 << 60) | U(TOP)
-    words[slot[escape] + 1] = v[who, at][escape]
+    words[slot[escape] + 1] = v[at[escape]]
     per = np.bincount(who, 1 + escape, blocks).astype(np.int64)
     return words, np.concatenate([[0], np.cumsum(per)])
 
@@ -96,12 +102,14 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     block = np.repeat(np.arange(blocks), np.diff(offsets))
     before = np.cumsum(count) - count
     place = before - before[offsets[:-1]][block] if len(words) else before
-    out = np.zeros((blocks, BLOCK + 240), U)
+    stride = BLOCK + 240
+    out, at = np.zeros(blocks * stride, U), block * stride + place
     for k in range(2, 16):
         mine = np.flatnonzero((s == k) & ~raw & ~head)
-        mask = U((1 << int(WIDTH[k])) - 1)
-        for j in range(COUNT[k]):
-            out[block[mine], place[mine] + j] = (words[mine] >> U(j * int(WIDTH[k]))) & mask
+        mask, first, word = U((1 << int(WIDTH[k])) - 1), at[mine], words[mine]
+        for j in range(COUNT[k] if len(mine) else 0):
+            out[first + j] = (word >> U(j * int(WIDTH[k]))) & mask
     e = np.flatnonzero(head)
-    out[block[e], place[e]] = words[e + 1] if len(e) else 0
-    return out[:, :BLOCK].reshape(-1)[:n]
+    if len(e):
+        out[at[e]] = words[e + 1]
+    return out.reshape(blocks, stride)[:, :BLOCK].reshape(-1)[:n]

@@ -15,8 +15,9 @@ by text hash; an empty table writes no segment.
 
 from __future__ import annotations
 
+import gc
 import re
-import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +31,18 @@ from pixelmill.llm.common import parts, shared_dir
 from pixelmill.llm.shingles import slices
 
 SEGMENT = 1 << 20
-MOST_WORDS = 400_000  # distinct pre-tokens that a worker remembers
+MOST_WORDS = 700_000  # distinct pre-tokens that a worker remembers
 # Characters whose classes agree in every regular-expression engine; other texts take the long way.
 LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 ODD = re.compile(rf"[^\t\n\x0b\x0c\r\x20-\x7e{LETTER}‐-‧‰-⁞€]")
 PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\s0-9{LETTER}]+|\s+(?!\S)|\s+")
 
 
+# The byte-level alphabet by its rule: printable Latin-1 bytes stand for themselves, the others come from 256 on.
+_OWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+BYTE_LEVEL = dict(zip([*_OWN, *(b for b in range(256) if b not in _OWN)], [*map(chr, _OWN), *(chr(256 + i) for i in range(256 - len(_OWN)))], strict=True))
+
+
 class Encoder:
     """Ids of texts; remembers the ids of pre-tokens."""
 
@@ -56,30 +62,37 @@ class Encoder:
         self.start = np.zeros(1, np.int64)
 
     def learn(self, words: list[str]) -> None:
-        got = [e.ids for e in self.tool.encode_batch_fast(words, add_special_tokens=False)]
+        """Add the ids of pre-tokens: the library's merges over the byte-level form of each."""
+        merge = self.tool.model.tokenize
+        got = [[t.id for t in merge(w.encode().decode("latin-1").translate(BYTE_LEVEL))] for w in words]
         n = np.fromiter(map(len, got), np.int64, len(got))
         end = self.start[-1] + n.sum()
         if end > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.start[-1]], np.zeros(int(end) + len(self.ids) - self.start[-1], np.uint32)])
-        self.ids[self.start[-1] : end] = np.fromiter((i for g in got for i in g), np.uint32, int(n.sum()))
+        self.ids[self.start[-1] : end] = np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum()))
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(n)])
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        if len(self.index) > MOST_WORDS:
-            self.forget()
         odd = [bool(ODD.search(t)) for t in texts]
         split = [[] if o else PRE_TOKEN.findall(t) for t, o in zip(texts, odd, strict=True)]
-        new = set().union(*split) - self.index.keys()
-        if new:
-            self.learn(sorted(new))
-        idx = np.fromiter((self.index[w] for s in split for w in s), np.int64, sum(map(len, split)))
+        count = np.fromiter(map(len, split), np.int64, len(split))
+        enc = pa.array(chain.from_iterable(split), pa.string(), size=int(count.sum())).dictionary_encode()
+        words = enc.dictionary.to_pylist()
+        if len(self.index) > MOST_WORDS:
+            self.forget()
+        known = np.fromiter((-1 if i is None else i for i in map(self.index.get, words)), np.int64, len(words))
+        fresh = np.flatnonzero(known < 0)
+        known[fresh] = np.arange(len(fresh)) + len(self.index)
+        self.learn([words[i] for i in fresh])
+        idx = known[enc.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
         n = self.start[idx + 1] - self.start[idx]
         flat = self.ids[np.repeat(self.start[idx] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        off = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(list(map(len, split)))]).astype(int)]
+        off = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(count)])]
         if any(odd):
-            whole = {i: np.array(e.ids, np.uint32) for i, e in zip(np.flatnonzero(odd), self.tool.encode_batch_fast([t for t, o in zip(texts, odd, strict=True) if o], add_special_tokens=False), strict=True)}
+            rest = self.tool.encode_batch_fast([t for t, o in zip(texts, odd, strict=True) if o], add_special_tokens=False)
+            whole = {i: np.array(e.ids, np.uint32) for i, e in zip(np.flatnonzero(odd), rest, strict=True)}
             pieces = [whole.get(i, flat[off[i] : off[i + 1]]) for i in range(len(texts))]
             return np.concatenate(pieces), np.array(list(map(len, pieces)), np.int64)
         return flat, np.diff(off)
@@ -115,7 +128,9 @@ def write(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 0, id_col
         enc, held, size, number = encoder(tokenizer), [], 0, 0
         for big in batches:
             for b in slices(big, "text"):
+                gc.disable()  # millions of strings and no cycles
                 ids, lens = enc.encode(b.column(1).to_pylist())
+                gc.enable()
                 full = np.full(len(ids) + len(lens), end_id, np.uint32)
                 keep = np.ones(len(full), bool)
                 keep[np.cumsum(lens + 1) - 1] = False
