@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm import byte_bpe, cube_mixing, embedding_dedup, histogram_shards, language_id, order_minhash, parity_join, pii, token_files, url_filter
+from pixelmill.llm import byte_bpe, cube_mixing, embedding_dedup, histogram_shards, language_id, oracles, order_minhash, parity_join, pii, token_files, url_filter
 from pixelmill.llm.common import read_table
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -17,7 +17,7 @@ BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup.links_of_vectors(read_table(spark, sf_dir, "embeddings"))
+    return embedding_dedup.links_of_vectors(read_table(spark, sf_dir, "embeddings")).drop("class_size")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_embedding_dedup": oracles.VECTORS, "op5_parity_join": oracles.DOCUMENTS}
