@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import materialize, parts
+from pixelmill.llm.common import materialize, parts, small_batches
 from pixelmill.llm.shingles import slices
 
 CHUNK = 32_768
@@ -94,6 +94,7 @@ def codec(ranks: str, pattern: str) -> Codec:
 
 def encode(docs: DataFrame, *, ranks: str, pattern: str, text_col: str = "text", spread: int = 1_000_000) -> DataFrame:
     """``docs`` with n_tokens, ids (little-endian uint32), ids_sha256 and decoded_sha256."""
+    small_batches(docs.sparkSession)
     names, at = docs.columns, docs.columns.index(text_col)
     new = "n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import Shipped, materialize
+from pixelmill.llm.common import Shipped, materialize, small_batches
 from pixelmill.llm.shingles import slices
 
 ORDER = 5
@@ -182,6 +182,7 @@ class Model:
 
 def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_grams: int = 1_500_000, calibration: int = 3000) -> Model:
     """A model of every language of ``train``; counts cover all its rows."""
+    small_batches(train.sparkSession)
     rows = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")).filter("lang is not null and text is not null")
 
     def count(batches):
@@ -249,6 +250,7 @@ def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", tolerance: float = 8.0) -> DataFrame:
     """``docs`` with lang_pred, score, rejected and cross_entropy (nats per character)."""
+    small_batches(docs.sparkSession)
     sent = Shipped(docs.sparkSession, model)
     names = docs.columns
 

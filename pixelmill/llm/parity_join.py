@@ -6,7 +6,8 @@ shingle in only one of the sets changes only one segment, and the number of segm
 bounds the symmetric difference from below. With at most D differences in a band, at least G - D
 segments agree. G is chosen so that a set has fewer than G - D empty segments; then a pair agrees in
 some segment that isn't empty, and joining on (band, segment, XOR) finds it. A set with more empty
-segments than that emits its empty segments too, so nothing is lost. A set takes part in the band of
+segments than that emits its empty segments too, so nothing is lost. In the same way, segments that
+hold only frequent shingles (of passages that many documents share) are left out where enough others are left. A set takes part in the band of
 its own size and in those of larger partners.
 
 Pairs that meet in a segment are pruned by size and by a parity bit sketch whose Hamming distance
@@ -28,10 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import bitmap, connected_components, in_bitmap, materialize, parts
+from pixelmill.llm.common import Shipped, bitmap, connected_components, in_bitmap, materialize, parts, small_batches
 from pixelmill.llm.shingles import U, mix, set_signature, shingle_sets, slices
 
+SAMPLE = 3000  # documents, about, in which frequent shingles are looked for; any choice of them gives the same links
+OFTEN = 6  # of these documents
+SLACK = 0.02  # room for segments with frequent shingles only
 BAND = 1.5  # ratio of the largest to the smallest size of a band
+SLICE = 3_000_000  # bytes of text that are shingled at once
 FLUSH = 1_500_000  # keys that a task holds before it hands them on
 BLOCK = 1024
 MOST_WORDS = 1024  # of a sketch: 65,536 parity bits
@@ -51,7 +56,7 @@ def bands(largest: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
         while g < 8 * (most + least + 1):
             lam = least / g
             full, sd = g * -np.expm1(-lam), (g * np.exp(-lam) * max(1e-9, 1 - (1 + lam) * np.exp(-lam))) ** 0.5
-            if full - 3 * sd >= most + 1:
+            if full - 3 * sd >= most + 1 + SLACK * least:
                 break
             g += max(1, g // 50)
         out.append((least, hi, most, g))
@@ -59,12 +64,34 @@ def bands(largest: int, num: int, den: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def segment_keys(values: np.ndarray, off: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set index, 64-bit key) of every segment that a set has to emit."""
+class Frequent:
+    """A fixed set of shingles, as a sorted array behind a small bit table."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = np.unique(values)
+        self.table = np.zeros(1 << 20, bool)
+        self.table[(self.values >> U(44)).astype(np.int64)] = True
+
+    def holds(self, x: np.ndarray) -> np.ndarray:
+        out = self.table[(x >> U(44)).astype(np.int64)]
+        maybe = np.flatnonzero(out)
+        at = np.minimum(np.searchsorted(self.values, x[maybe]), max(0, len(self.values) - 1))
+        out[maybe] = self.values[at] == x[maybe] if len(self.values) else False
+        return out
+
+
+def segment_keys(values: np.ndarray, off: np.ndarray, num: int, den: int, frequent: Frequent | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(set index, 64-bit key) of every segment that a set has to emit.
+
+    A segment is strong if it holds a shingle that isn't frequent. A set with more than D strong
+    segments emits these, one with more than D filled ones all filled ones, others all. Of a pair,
+    the set with the stronger rule has an agreeing segment that the rule takes, and the other emits it too.
+    """
     n = np.diff(off)
     sets, keys = [], []
     if not len(n) or not n.max():
         return np.zeros(0, np.int64), np.zeros(0, U)
+    rare = ~frequent.holds(values) if frequent is not None else np.ones(len(values), bool)
     for s, (least, hi, most, g) in enumerate(bands(-(-int(n.max()) * den // num), num, den)):
         who = np.flatnonzero((n >= max(1, least)) & (n <= hi))
         if not len(who) or most == 0:  # with no difference allowed only equal sets match
@@ -77,10 +104,13 @@ def segment_keys(values: np.ndarray, off: np.ndarray, num: int, den: int) -> tup
         seg, x = seg[order], x[order]
         first = np.flatnonzero(np.diff(seg, prepend=-1))
         xor, at = np.bitwise_xor.reduceat(x, first), seg[first]
+        strong = np.logical_or.reduceat(rare[pos][order], first)
         filled = np.bincount(at // g, minlength=len(who))
-        for w in np.flatnonzero(filled <= most):  # too many empty segments: emit those as well
-            empty = np.setdiff1d(np.arange(w * g, (w + 1) * g), at[at // g == w])
-            at, xor = np.concatenate([at, empty]), np.concatenate([xor, np.zeros(len(empty), U)])
+        many = np.bincount(at[strong] // g, minlength=len(who))
+        emit = strong | (many <= most)[at // g]
+        lost = np.flatnonzero(filled <= most)
+        more = [np.setdiff1d(np.arange(w * g, (w + 1) * g), at[np.searchsorted(at, w * g) : np.searchsorted(at, (w + 1) * g)]) for w in lost]
+        at, xor = np.concatenate([at[emit], *more]), np.concatenate([xor[emit], np.zeros(sum(map(len, more)), U)])
         sets.append(who[at // g])
         keys.append(mix(mix((at % g).astype(U) * U(4096) + U(s)) ^ xor))
     if not sets:
@@ -89,10 +119,10 @@ def segment_keys(values: np.ndarray, off: np.ndarray, num: int, den: int) -> tup
 
 
 def parity_bits(values: np.ndarray, off: np.ndarray) -> list[bytes]:
-    """The parity sketch of each set: a shingle flips one of at least two bits for each shingle, a power of two."""
+    """The parity sketch of each set: a shingle flips one of at least n bits, a power of two."""
     n = np.diff(off)
     out: list[bytes] = [b""] * len(n)
-    words = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1) / 32)).astype(int).clip(2), 4, MOST_WORDS)
+    words = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1) / 64)).astype(int).clip(2), 4, MOST_WORDS)
     for w in np.unique(words):
         who = np.flatnonzero(words == w)
         m = n[who]
@@ -130,11 +160,12 @@ def links_of_documents(
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest id with the same set), for every row of ``docs``."""
     spark = docs.sparkSession
+    small_batches(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def profile(batches):
         for big in batches:
-            for b in slices(big, "text"):
+            for b in slices(big, "text", SLICE):
                 v, off = shingle_sets(b.column(1), k)
                 s1, s2 = set_signature(v, off)
                 cols = [b.column(0), pa.array(np.diff(off)), pa.array(s1), pa.array(s2), _binary(parity_bits(v, off))]
@@ -144,7 +175,22 @@ def links_of_documents(
     classes = rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     buckets = max(64, 2 * parts(spark))
 
+    every = max(1, docs.count() // SAMPLE)
+
+    def sampled(batches):
+        for big in batches:
+            for b in slices(big, "text", SLICE):
+                v, off = shingle_sets(b.column(1), k)
+                _, one = np.unique(set_signature(v, off)[0], return_index=True)
+                u, c = np.unique(np.concatenate([v[off[i] : off[i + 1]] for i in one]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], names=["v", "c"])
+
+    some = src.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).mapInArrow(sampled, "v long, c long")
+    often = some.groupBy("v").agg(F.sum("c").alias("c")).filter(F.col("c") >= OFTEN).select("v").toArrow()  # bounded by the sample
+    sent = Shipped(spark, Frequent(often["v"].to_numpy().view(U)))
+
     def emit(batches):
+        frequent = sent.get()
         held: list[tuple] = []
 
         def flush():
@@ -174,9 +220,9 @@ def links_of_documents(
 
         size = 0
         for big in batches:
-            for b in slices(big, "text"):
+            for b in slices(big, "text", SLICE):
                 v, off = shingle_sets(b.column(1), k)
-                who, key = segment_keys(v, off, num, den)
+                who, key = segment_keys(v, off, num, den, frequent)
                 held.append((set_signature(v, off)[0], who, key))
                 size += len(key)
                 if size > FLUSH:
@@ -265,7 +311,7 @@ def links_of_documents(
         def reread(batches):
             for big in batches:
                 big = big.filter(pa.array(in_bitmap(bits.value, big.column(2).to_numpy())))
-                for b in slices(big, "text") if len(big) else ():
+                for b in slices(big, "text", SLICE) if len(big) else ():
                     v, off = shingle_sets(b.column(1), k)
                     blobs = _binary([v[a:c].tobytes() for a, c in zip(off[:-1], off[1:], strict=True)])
                     yield pa.RecordBatch.from_arrays([pa.array(set_signature(v, off)[0]), blobs], names=["s1", "shingles"])
@@ -285,9 +331,10 @@ def links_of_documents(
     # later rounds: larger sets whose members are not in one component yet
     def rows_of(batches):
         for b in batches:
-            m = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+            m = [np.frombuffer(x, np.int64) for x in b.column(0).to_pylist()]
             if m:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), [len(x) for x in m])), pa.array(np.concatenate(m))], names=["set_id", "node"])
+                p = np.unique(np.stack([np.repeat([x[0] for x in m], [len(x) for x in m]), np.concatenate(m)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["set_id", "node"])
 
     def across(most: int | None):
         """Plausible pairs of different components; the ``most`` nearest of each member in a block, or all."""
@@ -341,7 +388,8 @@ def links_of_documents(
 
         return run
 
-    inside = materialize(sets.filter(F.col("size") > WHOLE).select("set_id", "members").mapInArrow(rows_of, "set_id long, node long"), "members")
+    # sets with the same smallest member are taken together: near copies meet in many segments
+    inside = materialize(sets.filter(F.col("size") > WHOLE).select("members").mapInArrow(rows_of, "set_id long, node long").distinct(), "members")
     texts, comp = None, connected_components(edges)
     for most in NEAREST:
         placed = materialize(inside.join(comp, "node", "left").select("set_id", "node", F.coalesce("component", "node").alias("comp")), "placed")

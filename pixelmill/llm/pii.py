@@ -19,6 +19,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from pixelmill.llm.common import small_batches
 from pixelmill.llm.shingles import slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -209,6 +210,7 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 def find(docs: DataFrame, *, text_col: str = "text", mask: bool = False) -> DataFrame:
     """``docs`` with base_spans and spans; with ``mask``, ``docs`` with the personal data of the text masked."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     at = names.index(text_col)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

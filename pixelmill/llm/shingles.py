@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,16 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
-def slices(batch: pa.RecordBatch, col: str, most: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Return freed memory to the system: workers live on and share an executor's limit with its heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
+def slices(batch: pa.RecordBatch, col: str, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each, one row at least."""
     size = pc.fill_null(pc.binary_length(batch.column(batch.schema.names.index(col))), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(size, dtype=np.int64) // most
@@ -30,6 +40,7 @@ def slices(batch: pa.RecordBatch, col: str, most: int = 6_000_000) -> Iterator[p
     for a, b in zip([0, *cut], [*cut, len(size)], strict=True):
         if b > a:
             yield batch.slice(a, b - a)
+    give_back()
 
 
 def shingle_sets(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -31,6 +31,7 @@ from pixelmill.llm.common import parts, shared_dir
 from pixelmill.llm.shingles import slices
 
 SEGMENT = 1 << 20
+SLICE = 6_000_000  # bytes of text that are encoded at once
 MOST_WORDS = 700_000  # distinct pre-tokens that a worker remembers
 # Characters whose classes agree in every regular-expression engine; other texts take the long way.
 LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -127,7 +128,7 @@ def write(docs: DataFrame, path: str, *, tokenizer: str, end_id: int = 0, id_col
     def run(batches):
         enc, held, size, number = encoder(tokenizer), [], 0, 0
         for big in batches:
-            for b in slices(big, "text"):
+            for b in slices(big, "text", SLICE):
                 gc.disable()  # millions of strings and no cycles
                 ids, lens = enc.encode(b.column(1).to_pylist())
                 gc.enable()

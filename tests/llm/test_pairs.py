@@ -175,7 +175,8 @@ def test_similar_sets_share_a_segment(n, seed, part):
     both = len(np.intersect1d(a, b))
     if not len(b) or 100 * both < 75 * (len(a) + len(b) - both) or np.array_equal(a, b):
         return
-    who, key = PJ.segment_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 75, 100)
+    common = PJ.Frequent(np.concatenate([a, b])[rng.random(len(a) + len(b)) < rng.choice([0, 0.1, 0.9])])
+    who, key = PJ.segment_keys(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 75, 100, common)
     assert set(key[who == 0].tolist()) & set(key[who == 1].tolist())
     x, y = PJ.parity_bits(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
     assert PJ.apart(x, y) <= len(a) + len(b) - 2 * both
