@@ -3,10 +3,12 @@
 Texts are lower-cased and cut into runs of letters; a word is a character sequence from its start
 mark to its end mark. A gram packs up to ``ORDER`` character codes of 12 bits, so that its context
 and its suffix are shifts and masks; the character code of code points above 4,095 is hashed. Gram
-counts cover all labelled training rows. Of a large table the rarest grams are pruned to
-``max_grams`` in all, which bounds what goes to the driver and the executors. Each language keeps
+counts cover all labelled training rows, and none is left out: driver and executors hold a model that
+grows with the distinct grams of each language. Each language keeps
 sorted arrays for each order: grams with their interpolated log probability, contexts with their
-back-off weight. A document gets the language of the lowest cross-entropy per character.
+back-off weight. The logs of the most frequent grams are kept ready for all languages (``CACHE``);
+others are looked up in the arrays, with the same result. A document gets the language of the lowest
+cross-entropy per character.
 
 Rejection is calibrated: from about ``calibration`` training documents, chosen by a hash, come each
 language's mean cross-entropy and its spread by length; a text further than ``tolerance`` spreads
@@ -32,6 +34,8 @@ BITS = 12
 MASK = (1 << BITS) - 1
 FULL = [(1 << (BITS * o)) - 1 for o in range(ORDER + 1)]
 START, END = 1, 2  # code points that are no letters
+CACHE = 6_000_000  # log probabilities that are kept ready; any number gives the same results
+COLLECT = 2_000_000  # grams that go to the driver at once
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -69,11 +73,17 @@ class Model:
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.languages = sorted(counts)
         self.tables = {lang: self._fit(*counts[lang]) for lang in self.languages}
-        known = [t[o][0] for t in self.tables.values() for o in range(2, ORDER + 1)]
-        self.grams = np.unique(np.concatenate(known)) if known else np.zeros(0, np.int64)
+        self.grams = self._frequent(counts)
         self.logs = self._resolve(self.grams)
         self.limits: dict[str, tuple[float, float, float]] = {}
 
+    @staticmethod
+    def _frequent(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The grams whose logs are kept ready, sorted: the most frequent ones of each language."""
+        most = CACHE // max(1, len(counts)) ** 2
+        own = [g if len(g) <= most else g[np.argpartition(n, len(n) - most)[len(n) - most :]] for g, n in counts.values()]
+        return np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64)
+
     @staticmethod
     def _fit(gram: np.ndarray, n: np.ndarray) -> list:
         """For each order: (grams, log probabilities, contexts, log back-off weights)."""
@@ -180,7 +190,20 @@ class Model:
         return lang.tolist(), np.where(none, 0.0, score), none | far, low
 
 
-def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_grams: int = 1_500_000, calibration: int = 3000) -> Model:
+def collected(counted: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """(grams, counts) of each language; at most about ``COLLECT`` rows go to the driver at once."""
+    found: dict[str, list] = {}
+    shares = -(-counted.count() // COLLECT)
+    for k in range(shares):
+        t = counted.filter(F.pmod(F.xxhash64("gram"), F.lit(shares)) == k).toArrow()
+        lang = t["lang"].combine_chunks().dictionary_encode()
+        code, gram, n = lang.indices.to_numpy(), t["gram"].to_numpy(), t["n"].to_numpy()
+        for i, x in enumerate(lang.dictionary.to_pylist()):
+            found.setdefault(x, []).append((gram[code == i], n[code == i]))
+    return {x: tuple(map(np.concatenate, zip(*found.pop(x), strict=True))) for x in sorted(found)}
+
+
+def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", calibration: int = 3000) -> Model:
     """A model of every language of ``train``; counts cover all its rows."""
     small_batches(train.sparkSession)
     rows = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")).filter("lang is not null and text is not null")
@@ -210,16 +233,7 @@ def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
     counted = materialize(rows.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    # the least count with which the table stays within max_grams
-    log = F.floor(F.log2("n")).cast("int")
-    levels = {r["level"]: r["k"] for r in counted.groupBy(log.alias("level")).agg(F.count("*").alias("k")).collect()}
-    total, least = sum(levels.values()), 0
-    while total > max_grams:
-        total -= levels.get(least, 0)
-        least += 1
-    t = counted.filter(F.col("n") >= (1 << least)).toArrow()
-    lang, gram, n = np.array(t["lang"].to_pylist(), dtype=object), t["gram"].to_numpy(), t["n"].to_numpy()
-    model = Model({x: (gram[lang == x], n[lang == x]) for x in set(lang.tolist())})
+    model = Model(collected(counted))
     if not model.languages:
         return model
     every = max(1, rows.count() // calibration)

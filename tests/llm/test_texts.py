@@ -89,6 +89,34 @@ def test_language_edge_cases(spark):
     assert {r["lang_pred"] for r in language_id.predict(odd, none).collect()} == {"und"}
 
 
+def test_no_gram_of_a_small_language_is_lost(spark):
+    rng = np.random.default_rng(3)
+    noise = [" ".join("".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (1500, 8))) for _ in range(200)]  # 2 million grams
+    small = [f"жук и лес {w}" for w in ("дом", "кот", "мир", "сад")]
+    rows = [(i, t, "xx") for i, t in enumerate(noise)] + [(1000 + i, t, "ru") for i, t in enumerate(small)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    both, alone = language_id.fit(docs), language_id.fit(docs.filter("lang = 'ru'"))
+    assert both.languages == ["ru", "xx"] and len(both.tables["xx"][language_id.ORDER][0]) > 1_000_000
+    for mine, own in zip(both.tables["ru"][1:], alone.tables["ru"][1:], strict=True):
+        assert all(np.array_equal(x, y) for x, y in zip(mine, own, strict=True))
+
+
+def test_any_cache_gives_the_same_logs(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    counts = {}
+    for r in docs.select("lang", "text").collect():
+        counts.setdefault(r["lang"], []).append(r["text"] or "")
+    import pyarrow as pa
+
+    counts = {x: np.unique(language_id.grams_of(language_id.words_of(pa.array(t))[2])[0], return_counts=True) for x, t in counts.items() if x}
+    texts = pa.array([r["text"] for r in docs.select("text").collect()])
+    full = language_id.Model(counts)
+    monkeypatch.setattr(language_id, "CACHE", 500)
+    few = language_id.Model(counts)
+    assert len(few.grams) < len(full.grams)
+    assert np.array_equal(few.entropies(texts)[0], full.entropies(texts)[0])
+
+
 def test_kneser_ney_sums_to_one():
     import pyarrow as pa
 
