@@ -94,15 +94,16 @@ WORDS = "|".join(sorted(NUMBER, key=len, reverse=True))
 SPELLED = re.compile(rf"(?i)(?<!\w)(?:{WORDS})(?:[\s,.-]{{1,3}}(?:{WORDS}))+(?!\w)")
 ONE_WORD = re.compile(rf"(?i){WORDS}")
 SIGN = re.compile(
-    r"(?i)\s*[(\[{<]\s*(?P<at>at|arroba|@)\s*[)\]}>]\s*|\s*[(\[{<]\s*(?P<dot>dot|punto|punkt|point|\.)\s*[)\]}>]\s*"
+    r"(?i)(?:(?<!\s)\s++)?[(\[{<]\s*(?:(?P<at>at|arroba|@)|(?P<dot>dot|punto|punkt|point|\.))\s*[)\]}>]\s*"
     r"|&#0*64;|&commat;|&#x0*40;|(?P<dot2>&#0*46;|&period;|&#x0*2e;)"
 )
 SPOKEN = re.compile(r"(?i)(?<=[A-Za-z0-9._%+-])(?P<at>[ \t]+at[ \t]+)(?=[A-Za-z0-9-]+(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]+)(?P<host>[A-Za-z0-9-]+(?:(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]+)+)")
 DOT = re.compile(r"(?i)[ \t]+dot[ \t]+")
 PLUS = re.compile(rf"(?i)(?<!\w)plus[ \t]+(?=[0-9]|(?:{WORDS})\b)")
-# Whether a text needs the transducers at all.
+# What the characters' transducer reads.
 ODD = re.compile(r"[^\x00-\x7f¡-¬®-¶¸-ɏ‘-‟…€]")
-HINT = re.compile(r"(?i)[(\[{<]\s{0,3}(?:at|arroba|dot|punto|punkt|point|[@.])\s{0,3}[)\]}>]|&(?:#|commat|period)| dot |\bplus\s")
+BRACKET = re.compile(r"[(\[{<&]")  # in all that SIGN finds
+AT = re.compile(r"(?i)[ \t]at[ \t]")  # in all that SPOKEN finds
 LOOSE = re.compile(r"(?<![0-9A-Za-z])(?=[OoIl|0-9 -]*[OoIl|])[0-9OoIl|](?:[\x20-]?[0-9OoIl|]){11,18}(?![0-9A-Za-z])")
 LETTER_DIGIT = str.maketrans("OoIl|", "00111")
 
@@ -163,11 +164,19 @@ def digits(tape: Tape) -> None:
     tape.rewrite(edits)
 
 
+def rewritten(text: str) -> bool:
+    """Whether any of the transducers has something to rewrite."""
+    return bool(
+        ODD.search(text) or BRACKET.search(text) and SIGN.search(text) or AT.search(text) and SPOKEN.search(text)
+        or PLUS.search(text) or SPELLED.search(text)
+    )
+
+
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, base and added spans), each by start, then kind."""
     base = base_spans(text)
     added: list[Span] = []
-    if ODD.search(text) or HINT.search(text) or SPELLED.search(text):
+    if rewritten(text):
         tape = Tape(text)
         for step in (characters, signs, digits):
             step(tape)

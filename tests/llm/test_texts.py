@@ -267,6 +267,38 @@ def test_disguises_map_back_to_the_source(text, kind, part):
     assert set(base) <= set(spans)
 
 
+ALONE = [
+    ("john at example.com", "email", "john at example.com"),
+    ("write to JOHN AT example.com now", "email", "JOHN AT example.com"),
+    ("ann at host\tdot\texample  dot  org", "email", "ann at host\tdot\texample  dot  org"),
+    ("ann (     at     ) example.com", "email", "ann (     at     ) example.com"),
+    ("up 10 [    .    ] 0 [.] 0 [.] 1", "ip", "10 [    .    ] 0 [.] 0 [.] 1"),
+    ("call plus\t49 30 555 1234 5", "phone", "plus\t49 30 555 1234 5"),
+]
+
+
+@pytest.mark.parametrize(("text", "kind", "part"), ALONE)
+def test_one_disguise_alone_is_found(text, kind, part):
+    assert (kind, text.index(part), text.index(part) + len(part)) in pii.all_spans(text)[1]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["john", " at ", "\tAT  ", "x.org", " dot ", "  dot\t", "(", " ", "   ", "at", "]", "@", "&#64;", "&#0064;", "&period;", "plus ", "one", "two-", "49 30 555 1234 5", "a", "é", "—"]), max_size=20))
+def test_texts_that_are_skipped_have_nothing_to_rewrite(parts):
+    text = "".join(parts)
+    tape = pii.Tape(text)
+    for step in (pii.characters, pii.signs, pii.digits):
+        step(tape)
+    assert pii.rewritten(text) or not any(tape.new) and tape.text == text
+
+
+def test_gate_takes_linear_time():
+    t = time.time()
+    for text in (" " * 300_000, "( " * 100_000, "(" + " " * 300_000, " at a" * 60_000, "a at " + "a" * 300_000, "a" + " \t" * 150_000 + "at", "plus " * 60_000):
+        pii.rewritten(text)
+    assert time.time() - t < 20
+
+
 CLEAN = ["meet at noon on the dot", "one two three go", "Élève à l’école – déjà vu", "look at this. dot", "she is at home dot", "plus one more", "version 1.2.3", "Пример текста на русском"]
 
 
