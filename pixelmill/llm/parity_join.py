@@ -158,7 +158,11 @@ def _binary(blobs: list[bytes]) -> pa.Array:
 def links_of_documents(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (smallest id with the same set), for every row of ``docs``."""
+    """doc_id, n_shingles, component_id, class_id (smallest id with the same set), for every row of ``docs``.
+
+    Only the components are complete. The links that they rest on are neither all found nor returned:
+    of a segment set of more than ``WHOLE`` members, pairs inside one component are not looked at again.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
