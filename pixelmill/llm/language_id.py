@@ -10,9 +10,10 @@ back-off weight. The logs of the most frequent grams are kept ready for all lang
 others are looked up in the arrays, with the same result. A document gets the language of the lowest
 cross-entropy per character.
 
-Rejection is calibrated: from about ``calibration`` training documents, chosen by a hash, come each
-language's mean cross-entropy and its spread by length; a text further than ``tolerance`` spreads
-above its language's mean is rejected, as is one without letters.
+Rejection is calibrated: from all its training documents come each language's median cross-entropy
+and its spread by length; one with fewer than ``FEW`` is never held to narrower limits than its own or
+those of the others. A text further than ``tolerance`` spreads
+above its language's median is rejected, as is one without letters.
 
 Cases: a null text, or one without a letter, gets ``und`` and score 0. Rows with null language train
 nothing. Without any training row every text gets ``und``. Extra columns are ignored.
@@ -35,6 +36,7 @@ MASK = (1 << BITS) - 1
 FULL = [(1 << (BITS * o)) - 1 for o in range(ORDER + 1)]
 START, END = 1, 2  # code points that are no letters
 CACHE = 6_000_000  # log probabilities that are kept ready; any number gives the same results
+FEW = 30  # documents that are too few for limits of their own
 COLLECT = 2_000_000  # grams that go to the driver at once
 
 
@@ -203,10 +205,30 @@ def collected(counted: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return {x: tuple(map(np.concatenate, zip(*found.pop(x), strict=True))) for x in sorted(found)}
 
 
-def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", calibration: int = 3000) -> Model:
+def medians(m: DataFrame, col: str) -> dict[str, tuple[int, float]]:
+    """(rows, exact median of ``col``) of each language: counts of bins first, then the values in the middle ones."""
+    binned = m.withColumn("bin", F.floor(F.log2(F.greatest(F.col(col).cast("double"), F.lit(1e-9))) * 1024))
+    held = binned.groupBy("lang", "bin").agg(F.count("*").alias("k")).toPandas().sort_values(["lang", "bin"])
+    before, want = {}, []
+    for x, own in held.groupby("lang"):
+        k, upto = own["k"].to_numpy(), own["k"].cumsum().to_numpy()
+        at = np.searchsorted(upto, [(upto[-1] - 1) // 2, upto[-1] // 2], side="right")
+        before[x] = int(upto[-1]), int(upto[at[0]] - k[at[0]])
+        want += [(x, int(own["bin"].iloc[i])) for i in sorted(set(at.tolist()))]
+    middle = F.broadcast(m.sparkSession.createDataFrame(want, "lang string, bin long"))
+    values = binned.join(middle, ["lang", "bin"]).groupBy("lang", F.col(col).cast("double").alias("v")).agg(F.count("*").alias("k")).toPandas().sort_values(["lang", "v"])
+    out = {}
+    for x, own in values.groupby("lang"):
+        rows, skipped = before[x]
+        at = np.searchsorted(skipped + own["k"].cumsum().to_numpy(), [(rows - 1) // 2, rows // 2], side="right")
+        out[x] = rows, float(own["v"].to_numpy()[at].mean())
+    return out
+
+
+def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of every language of ``train``; counts cover all its rows."""
     small_batches(train.sparkSession)
-    rows = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")).filter("lang is not null and text is not null")
+    rows = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
 
     def count(batches):
         held: dict[str, list] = {}
@@ -236,7 +258,6 @@ def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_
     model = Model(collected(counted))
     if not model.languages:
         return model
-    every = max(1, rows.count() // calibration)
     sent = Shipped(train.sparkSession, model)
 
     def measure(batches):
@@ -247,18 +268,17 @@ def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_
                 ok = length > 0
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), pa.array(h.min(axis=1)[ok]), pa.array(length[ok])], names=["lang", "h", "n"])
 
-    sample = rows.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(every)) == 0).select("lang", "text")
-    m = sample.mapInArrow(measure, "lang string, h double, n long").toPandas()
-    for x in model.languages:
-        own = m[m["lang"] == x]
-        own = own if len(own) >= 30 else m
-        if len(own):
-            mu = float(own["h"].median())
-            spread = (own["h"] - mu).abs() * 1.4826
-            big = own["n"] >= own["n"].median()
-            wide = float(spread[big].mean())
-            short = float((spread * np.sqrt(own["n"])).mean())
-            model.limits[x] = (mu, max(wide, 0.05), max(short, 1.0))
+    m = materialize(rows.select("lang", "text").mapInArrow(measure, "lang string, h double, n long"), "measured")
+    mid, half = medians(m, "h"), medians(m, "n")
+    at = train.sparkSession.createDataFrame([(x, mid[x][1], half[x][1]) for x in mid], "lang string, mu double, half double")
+    spread = F.abs(F.col("h") - F.col("mu")) * 1.4826
+    wide, short = F.avg(F.when(F.col("n") >= F.col("half"), spread)), F.avg(spread * F.sqrt("n"))
+    for r in m.join(F.broadcast(at), "lang").groupBy("lang").agg(wide.alias("wide"), short.alias("short")).collect():
+        model.limits[r["lang"]] = (mid[r["lang"]][1], max(r["wide"], 0.05), max(r["short"], 1.0))
+    sure = [model.limits[x] for x in mid if mid[x][0] >= FEW] or list(model.limits.values())
+    for x in mid:
+        if mid[x][0] < FEW:
+            model.limits[x] = tuple(map(max, zip(model.limits[x], *sure, strict=True)))
     return model
 
 

@@ -101,6 +101,24 @@ def test_no_gram_of_a_small_language_is_lost(spark):
         assert all(np.array_equal(x, y) for x, y in zip(mine, own, strict=True))
 
 
+def test_limits_rest_on_every_row_of_a_language(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    words = {"xx": ["the", "fox", "and", "a", "dog"], "ru": ["".join(w) for w in rng.choice(list("абвгдежзиклмнопрст"), (3000, 7))]}
+    texts = {x: [" ".join(rng.choice(words[x], rng.integers(3, 30))) for _ in range(n)] for x, n in (("xx", 6500), ("ru", 40))}
+    rows = [(i, t, x) for x in texts for i, t in enumerate(texts[x])]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    for x in texts:
+        h, n = model.entropies(pa.array(texts[x]))
+        h = h.min(axis=1)
+        far = np.abs(h - np.median(h)) * 1.4826
+        want = np.median(h), max(far[n >= np.median(n)].mean(), 0.05), max((far * np.sqrt(n)).mean(), 1.0)
+        assert model.limits[x] == pytest.approx(want, abs=1e-9)
+    assert model.limits["ru"][0] > model.limits["xx"][0] + 0.3
+    assert not any(model.judge(pa.array(texts["ru"]), 8.0)[2])
+
+
 def test_any_cache_gives_the_same_logs(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     counts = {}
