@@ -44,6 +44,22 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, rows)
 
 
+def without(df: DataFrame, added: list[str], *needed: str) -> DataFrame:
+    """``df`` without the columns that an operator is about to add (names compare as Spark does, in any case).
+
+    The columns that the operator reads can't be replaced: one that is named so is an error.
+    """
+    gone = {c.lower() for c in added}
+    if gone & {c.lower() for c in needed}:
+        raise ValueError(f"an input column has the name of a result: {sorted(gone & {c.lower() for c in needed})}")
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in gone))
+
+
+def ddl(df: DataFrame) -> str:
+    """The columns of ``df`` as a schema string."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

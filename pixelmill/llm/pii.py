@@ -4,11 +4,16 @@ Base detectors find e-mail addresses, IP addresses, card and phone numbers as wr
 then runs transducers over the text, each of which maps every character that it writes to the source
 characters that it read: homoglyphs and compatibility forms become ASCII and invisible characters
 vanish; bracketed or spelled "at", "dot" and "plus" become signs; runs of spelled digits become digits. The same
-detectors read the normalised text, and spans that rest on a rewritten character are mapped back to
-source offsets. Base spans stay; an added span is never inside another span of its kind.
+detectors read the normalised text, and spans whose source reads otherwise, because a character of
+it was rewritten or left out, are mapped back to source offsets. Base spans stay; an added span is never
+inside another span of its kind. A plain spoken "at" before a host with written dots needs evidence: the
+host ends in a known suffix (``SUFFIXES``) and the word before is none that English puts there
+(``BEFORE_AT``); "look at example.com" stays as it is. With a spelled "dot" that word alone decides.
 
 Offsets are code points, ends exclusive. Cases: a null text is empty and has no spans; long runs of
-digits or address characters take linear time; ties are ordered by kind. Rows and columns are kept.
+digits or address characters take linear time; ties are ordered by kind; an empty table gives an empty
+one. Rows, repeated ones too, and columns are kept; a column of the input that is named like an added
+one (in any case) is replaced by it.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pixelmill.llm.common import small_batches
+from pixelmill.llm.common import ddl, small_batches, without
 from pixelmill.llm.shingles import slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -99,39 +104,50 @@ SIGN = re.compile(
 )
 SPOKEN = re.compile(r"(?i)(?<=[A-Za-z0-9._%+-])(?P<at>[ \t]+at[ \t]+)(?=[A-Za-z0-9-]+(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]+)(?P<host>[A-Za-z0-9-]+(?:(?:[ \t]+dot[ \t]+|\.)[A-Za-z0-9-]+)+)")
 DOT = re.compile(r"(?i)[ \t]+dot[ \t]+")
+# Suffixes of hosts that a plain spoken "at" may name, and words that stand before "at" in prose.
+SUFFIXES = frozenset(
+    "com org net edu gov mil int info biz name mobi aero app dev io ai co me tv cc eu us uk ca au nz ie de at ch fr es pt it nl be lu dk se no fi pl cz sk hu ro bg gr"
+    " ru ua tr il in cn jp kr hk sg tw br mx ar cl za example test".split()
+)
+BEFORE_AT = frozenset(
+    "a about again all am an and are arrive arrived as available aim aimed back based be been began begin being book both bought buy came check click come data did do done down"
+    " each end ended even ever everyone files find for found free from get go going good had has have he held her here him his home host hosted i is it its join just laugh laughed"
+    " live lived located look looked looking looks lot made me meet meeting meets met more most much my new news no not now of off on one online only open or order our out over"
+    " page place posted price published read register run see seen she shop shouted site sites sold some start started stay stayed still stop stopped store study that the them"
+    " then there they these things this those time to today tomorrow up us visit visited was watch we website well went were what when where which while who will with work"
+    " worked working works yell yesterday you your".split()
+)
 PLUS = re.compile(rf"(?i)(?<!\w)plus[ \t]+(?=[0-9]|(?:{WORDS})\b)")
 # What the characters' transducer reads.
 ODD = re.compile(r"[^\x00-\x7f¡-¬®-¶¸-ɏ‘-‟…€]")
 BRACKET = re.compile(r"[(\[{<&]")  # in all that SIGN finds
 AT = re.compile(r"(?i)[ \t]at[ \t]")  # in all that SPOKEN finds
 LOOSE = re.compile(r"(?<![0-9A-Za-z])(?=[OoIl|0-9 -]*[OoIl|])[0-9OoIl|](?:[\x20-]?[0-9OoIl|]){11,18}(?![0-9A-Za-z])")
+LONE = re.compile(r"(?<![0-9OoIl|])[OoIl|](?![0-9OoIl|])")  # a separator or a word rather than a digit
 LETTER_DIGIT = str.maketrans("OoIl|", "00111")
 
 
 class Tape:
-    """A text with, for each character, the source span it stands for and whether it was rewritten."""
+    """A text with, for each character, the source span it stands for."""
 
     def __init__(self, text: str):
         self.text = text
         self.start = list(range(len(text)))
         self.end = list(range(1, len(text) + 1))
-        self.new = [False] * len(text)
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace [a, b) by a string; each of its characters stands for all that was read."""
-        text, start, end, new, at = [], [], [], [], 0
+        text, start, end, at = [], [], [], 0
         for a, b, s in edits:
             if a < at:
                 continue
             text.append(self.text[at:a] + s)
             start += self.start[at:a] + [self.start[a]] * len(s)
             end += self.end[at:a] + [self.end[b - 1]] * len(s)
-            new += self.new[at:a] + [True] * len(s)
             at = b
         self.text = "".join(text) + self.text[at:]
         self.start = start + self.start[at:]
         self.end = end + self.end[at:]
-        self.new = new + self.new[at:]
 
 
 def characters(tape: Tape) -> None:
@@ -144,12 +160,23 @@ def characters(tape: Tape) -> None:
     tape.rewrite(edits)
 
 
+def address(text: str, m: re.Match) -> bool:
+    """Whether a spoken "at" joins a mailbox and a host rather than two words of a sentence."""
+    start = at = m.start("at")
+    while start and at - start < 64 and text[start - 1] in LOCAL:
+        start -= 1
+    if text[start:at].lower() in BEFORE_AT:
+        return False
+    return bool(DOT.search(m["host"])) or m["host"].rpartition(".")[2].lower() in SUFFIXES
+
+
 def signs(tape: Tape) -> None:
     tape.rewrite([(*m.span(), "." if m["dot"] or m["dot2"] else "@") for m in SIGN.finditer(tape.text)])
     edits = []
     for m in SPOKEN.finditer(tape.text):
-        edits.append((*m.span("at"), "@"))
-        edits += [(x.start(), x.end(), ".") for x in DOT.finditer(tape.text, *m.span("host"))]
+        if address(tape.text, m):
+            edits.append((*m.span("at"), "@"))
+            edits += [(x.start(), x.end(), ".") for x in DOT.finditer(tape.text, *m.span("host"))]
     tape.rewrite(edits)
     tape.rewrite([(*m.span(), "+") for m in PLUS.finditer(tape.text)])
 
@@ -181,12 +208,13 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
         for step in (characters, signs, digits):
             step(tape)
         for kind, a, b in base_spans(tape.text):
-            if any(tape.new[a:b]) or (a and tape.start[a] != tape.end[a - 1]):
-                added.append((kind, tape.start[a], tape.end[b - 1]))
+            source = tape.start[a], tape.end[b - 1]
+            if tape.text[a:b] != text[slice(*source)]:
+                added.append((kind, *source))
     for m in LOOSE.finditer(text):
         raw = m.group()
         d = DIGITS.sub("", raw.translate(LETTER_DIGIT))
-        if sum(c.isdigit() for c in raw) >= 10 and 12 <= len(d) <= 19 and luhn(d):
+        if not LONE.search(raw) and sum(c.isdigit() for c in raw) >= 10 and 12 <= len(d) <= 19 and luhn(d):
             added.append(("card", *m.span()))
     taken = {k: [s for s in base if s[0] == k] for k in KINDS}
     for s in dict.fromkeys(added):
@@ -220,6 +248,7 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 def find(docs: DataFrame, *, text_col: str = "text", mask: bool = False) -> DataFrame:
     """``docs`` with base_spans and spans; with ``mask``, ``docs`` with the personal data of the text masked."""
     small_batches(docs.sparkSession)
+    docs = docs if mask else without(docs, ["base_spans", "spans"], text_col)
     names = docs.columns
     at = names.index(text_col)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -238,5 +267,4 @@ def find(docs: DataFrame, *, text_col: str = "text", mask: bool = False) -> Data
 
     if mask:
         return docs.mapInArrow(run, docs.schema)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, base_spans {SPANS}, spans {SPANS}")
+    return docs.mapInArrow(run, f"{ddl(docs)}, base_spans {SPANS}, spans {SPANS}")
