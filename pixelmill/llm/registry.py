@@ -60,9 +60,8 @@ def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = byte_bpe.encode(docs, ranks=BPE_RANKS, pattern=public_tokenizers.PATTERN)
-    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    docs = read_table(spark, sf_dir, "documents")
+    return byte_bpe.encode(docs, ranks=BPE_RANKS, pattern=public_tokenizers.PATTERN, keep=["doc_id"], with_ids=False).drop("ids")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -504,7 +504,7 @@ def long_text(seed, n):
 
 @pytest.mark.parametrize("spread", [10**9, 20_000])
 def test_bpe_equals_the_library(spark, whole, spread):
-    rows = list(enumerate([*ODD_TEXTS, long_text(1, 120_000), long_text(2, 70_000), "y" * 40_000, "z " * 40_000, "same " * 30000, "same " * 30000]))
+    rows = list(enumerate([*ODD_TEXTS, long_text(1, 120_000), long_text(2, 70_000), "y" * 40_000, "z " * 40_000, "same " * 30000, "same " * 30000, "x" * 2000 + " " * 5000 + "y z"]))
     docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, key string")
     got = {r["doc_id"]: r for r in byte_bpe.encode(docs, ranks=registry.BPE_RANKS, pattern=public_tokenizers.PATTERN, spread=spread).collect()}
     assert len(got) == len(rows)
@@ -512,15 +512,46 @@ def test_bpe_equals_the_library(spark, whole, spread):
         raw = np.array(whole.encode_ordinary(t or ""), "<u4").tobytes()
         assert got[i]["ids_sha256"] == hashlib.sha256(raw).hexdigest() and got[i]["n_tokens"] == len(raw) // 4
         assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
-        assert bytes(got[i]["ids"]) == raw and got[i]["key"] == "k"
+        assert bytes(got[i]["ids"]) == raw and got[i]["key"] == "k" and got[i]["text"] == t
+
+
+def test_bpe_query_takes_both_branches(spark, whole):
+    sf = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert sum(len(t or "") > byte_bpe.SPREAD for t in docs.values()) >= 5 and sum(byte_bpe.CHUNK < len(t or "") <= byte_bpe.SPREAD for t in docs.values()) >= 100
+    got = registry.op10_byte_bpe(spark, sf).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        t = docs[r["doc_id"]] or ""
+        raw = np.array(whole.encode_ordinary(t), "<u4").tobytes()
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(raw) // 4, hashlib.sha256(raw).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+
+
+def test_bpe_clashing_columns_repeats_and_empty(spark):
+    docs = spark.createDataFrame([(1, "a b", 1, "c"), (1, "a b", 1, "c"), (None, None, None, None)], "doc_id long, text string, IDS int, __chunk string")
+    got = byte_bpe.encode(docs, ranks=registry.BPE_RANKS, pattern=public_tokenizers.PATTERN)
+    assert got.columns == ["doc_id", "text", "__chunk", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    assert sorted(r["n_tokens"] for r in got.collect()) == [0, 2, 2]
+    assert byte_bpe.encode(docs.limit(0), ranks=registry.BPE_RANKS, pattern=public_tokenizers.PATTERN).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([" word", "\n\n", "  ", "'ll", " 123", "日本", "x" * 40, "!?", " é", "\t", "\u00a0", "\x85"]), max_size=60))
+def test_small_chunks_give_the_same_ids(parts):
+    codec, text = byte_bpe.codec(registry.BPE_RANKS, public_tokenizers.PATTERN), "".join(parts)
+    spans = byte_bpe.chunk_spans(len(text), 24, 8)
+    zone = [(a, *codec.zones(text[a:b], lead, 8, not k, k + 1 == len(spans))) for k, (a, b, lead) in enumerate(spans)]
+    cut = [0, *byte_bpe.stitch([(a, x) for a, x, _ in zone], [(a, x) for a, _, x in zone]), len(text)]
+    assert [i for a, b in zip(cut[:-1], cut[1:], strict=True) for i in codec.tool.encode_ordinary(text[a:b])] == codec.tool.encode_ordinary(text)
 
 
 def test_chunks_are_stitched():
     codec = byte_bpe.codec(registry.BPE_RANKS, public_tokenizers.PATTERN)
     text = long_text(3, 200_000)
-    spans = byte_bpe.chunk_spans(len(text))
-    zone = [(a, *codec.zones(text[a:b], lead, not k, k + 1 == len(spans))) for k, (a, b, lead) in enumerate(spans)]
-    cut = byte_bpe.stitch([(a, x) for a, x, _ in zone], [(a, x) for a, _, x in zone])
-    assert len(spans) == 7 and 1 <= len(cut) <= 6
-    true = {m.start() for m in codec.pattern.finditer(text)}
-    assert set(cut) <= true
+    for size, overlap in ((byte_bpe.SPAN, byte_bpe.SPAN_OVERLAP), (byte_bpe.CHUNK, byte_bpe.OVERLAP)):
+        spans = byte_bpe.chunk_spans(len(text), size, overlap)
+        zone = [(a, *codec.zones(text[a:b], lead, overlap, not k, k + 1 == len(spans))) for k, (a, b, lead) in enumerate(spans)]
+        cut = byte_bpe.stitch([(a, x) for a, x, _ in zone], [(a, x) for a, _, x in zone])
+        assert 1 <= len(cut) < len(spans)
+        assert set(cut) <= {m.start() for m in codec.pattern.finditer(text)}
