@@ -40,8 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
-    out = byte_bpe.encode(docs.select("doc_id", "source", "text"), ranks=BPE_RANKS, pattern=public_tokenizers.PATTERN)
-    return out.select("doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    return byte_bpe.encode(docs, ranks=BPE_RANKS, pattern=public_tokenizers.PATTERN, keep=["doc_id", "source"])
 
 
 STAGES = [
