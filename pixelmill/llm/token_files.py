@@ -1,9 +1,11 @@
 """Token ids of documents in Simple-8b files, in ascending id order, and their reader.
 
-Texts are encoded with a byte-level tokenizer file and the ``tokenizers`` library; since its merges
-never cross a pre-token, the library encodes each distinct pre-token once, and a text's ids are put
-together from them (texts with characters outside plain Latin go to the library whole). An end id
-follows every document. Documents are dealt by id ranges and sorted; each task writes segments of
+Texts are encoded with a byte-level tokenizer file and the ``tokenizers`` library as it comes, without
+special tokens added; the string of a special token in a text is that token, as the library has it by
+default. Where the file is a plain byte-level BPE (checked: pre-tokenizer, model options, no normaliser),
+merges never cross a pre-token: the library encodes each distinct pre-token once, and a text's ids are
+put together from them. Texts with characters outside plain Latin or with a string of an added token,
+and all texts of any other file, go to the library whole. An end id follows every document. Documents are dealt by id ranges and sorted; each task writes segments of
 about ``SEGMENT`` ids. The container is Parquet, so any store that Spark writes takes it and lost
 tasks are redone by its commit protocol: part, segment, n_ids, doc_ids and null flags, lengths
 (uint32), block offsets (int64) and words (uint64), all little-endian. An index table has the ids
@@ -16,6 +18,7 @@ by text hash; an empty table writes no segment.
 from __future__ import annotations
 
 import gc
+import json
 import re
 from itertools import chain
 
@@ -44,6 +47,18 @@ _OWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 BYTE_LEVEL = dict(zip([*_OWN, *(b for b in range(256) if b not in _OWN)], [*map(chr, _OWN), *(chr(256 + i) for i in range(256 - len(_OWN)))], strict=True))
 
 
+def plain_byte_level(spec: dict) -> bool:
+    """Whether a tokenizer file is a byte-level BPE with the usual pre-tokens and nothing else that changes ids."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    return (
+        not any(spec.get(k) for k in ("normalizer", "truncation", "padding"))
+        and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        and model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        and all(not t.get(k) for t in spec.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    )
+
+
 class Encoder:
     """Ids of texts; remembers the ids of pre-tokens."""
 
@@ -54,9 +69,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.plain = plain_byte_level(spec)
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.forget()
 
+    def whole(self, text: str) -> bool:
+        """Whether the library has to encode the text itself."""
+        return not self.plain or bool(ODD.search(text)) or any(a in text for a in self.added)
+
     def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
@@ -76,7 +98,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        odd = [bool(ODD.search(t)) for t in texts]
+        odd = [self.whole(t) for t in texts]
         split = [[] if o else PRE_TOKEN.findall(t) for t, o in zip(texts, odd, strict=True)]
         count = np.fromiter(map(len, split), np.int64, len(split))
         enc = pa.array(chain.from_iterable(split), pa.string(), size=int(count.sum())).dictionary_encode()

@@ -465,7 +465,6 @@ def test_token_files_round_trip(spark):
     docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, start int")
     got = token_files.round_trip(docs, tokenizer=registry.BPE_JSON).collect()
     tool = Tokenizer.from_file(registry.BPE_JSON)
-    tool.encode_special_tokens = True
     want, at = [], 0
     key = lambda r: (r[0] is not None, r[0] or 0)
     by = {}
@@ -479,6 +478,24 @@ def test_token_files_round_trip(spark):
     assert want == [i for i, _ in sorted(rows, key=key)]
 
 
+def test_special_strings_are_the_library_s(spark):
+    enc, tool = token_files.Encoder(registry.BPE_JSON), Tokenizer.from_file(registry.BPE_JSON)
+    assert enc.plain and enc.added == ["<|endoftext|>"]
+    for t in ("x <|endoftext|> y", "<|endoftext|>", "<|endoftext|><|endoftext|>  a", "<|endoftext| >", "plain"):
+        assert enc.encode([t])[0].tolist() == tool.encode(t, add_special_tokens=False).ids
+    assert 50256 in enc.encode(["x <|endoftext|> y"])[0]
+
+
+def test_other_tokenizer_files_go_to_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc, tool = token_files.Encoder(path), Tokenizer.from_file(path)
+    assert not enc.plain
+    texts = ["Hello WORLD  again", "", "don't stop\n12", "é <|endoftext|> x"]
+    ids, n = enc.encode(texts)
+    want = [tool.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and n.tolist() == list(map(len, want))
+
+
 def test_token_files_empty(spark):
     assert token_files.round_trip(spark.createDataFrame([], "doc_id long, text string"), tokenizer=registry.BPE_JSON).count() == 0
 
