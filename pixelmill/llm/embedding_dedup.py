@@ -23,7 +23,6 @@ from pixelmill.llm.common import connected_components, materialize
 
 BLOCK = 2048  # members of a bucket that are compared with as many others in one go
 SHARD_ROWS = 40_000
-WIDE = 100_000_000
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -109,12 +108,13 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def links_of_vectors(
     df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
-    threshold: float = 0.98, tables: int | None = None, width: int | None = None, probes: int = 3, seed: int = 7,
+    threshold: float = 0.98, tables: int = 8, width: int = 3, probes: int = 3, seed: int = 7,
 ) -> DataFrame:
     """One row per row of ``df``: vec_id, n_links, component_id, kept, class_size.
 
-    By default a table's hash is three codes wide and there are eight tables: a pair at the threshold is
-    missed with a probability of about 3e-7. From WIDE distinct vectors on it is four wide in fourteen.
+    The setting is the same at every size: three codes a hash in eight tables, with three probes, miss a
+    pair at the threshold with a probability of about 3e-7 at 64 dimensions and 3e-5 at 768. More codes
+    (``width``) make smaller buckets and want more tables for the same loss.
     """
     v = F.col("vec")
     rows = df.select(
@@ -129,10 +129,6 @@ def links_of_vectors(
         keyed.filter("fine").groupBy("h1", "h2", "label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")), "classes"
     )
 
-    if width is None:
-        width = 3 if classes.count() < WIDE else 4
-    tables = tables or (8 if width == 3 else 14)
-
     def emit(batches):
         for b in batches:
             t = pa.Table.from_batches([b])

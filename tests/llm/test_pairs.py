@@ -1,5 +1,6 @@
 """Operators on pairs against brute force: vectors, documents, components."""
 
+import inspect
 import itertools
 import random
 import re
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pixelmill.llm import parity_join as PJ
 from pixelmill.llm.common import connected_components, drop_ids
-from pixelmill.llm.embedding_dedup import hadamard, links_of_vectors
+from pixelmill.llm.embedding_dedup import bucket_codes, hadamard, links_of_vectors
 from pixelmill.llm.shingles import shingle_sets
 
 SF = "/root/testdata/sf0.001"
@@ -85,6 +86,21 @@ def test_vectors_against_brute_force(spark):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (deg[i], comp[i], comp[i] == i)
 
 
+@pytest.mark.parametrize("dim", [24, 64, 128, 768])
+def test_recall_at_the_threshold(dim):
+    """Of pairs at a cosine of just 0.98, those that share a bucket under the shipped setting."""
+    rng, n = np.random.default_rng(dim), 2000
+    x, noise = rng.normal(size=(n, dim)), rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise -= (noise * x).sum(1, keepdims=True) * x
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    y = 0.98 * x + (1 - 0.98**2) ** 0.5 * noise
+    p = {k: v.default for k, v in inspect.signature(links_of_vectors).parameters.items()}
+    a, b = (bucket_codes(v, p["tables"], p["width"], p["probes"], p["seed"]) for v in (x, y))
+    met = (a[:, :, :, None] == b[:, :, None, :]).any(axis=(1, 2, 3))
+    assert met.mean() >= 0.999
+
+
 def test_vectors_null_ids_and_empty(spark):
     schema = "vec_id long, label int, embedding array<float>"
     got = links_of_vectors(spark.createDataFrame([(None, 1, [1.0, 2.0]), (5, 1, [1.0, 2.0]), (6, 1, [1.0, 2.0])], schema)).collect()
