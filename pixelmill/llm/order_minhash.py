@@ -6,6 +6,11 @@ each bucket); in every bucket the two smallest are selected, put into text order
 tuple. Words in another order give other tuples, so the share of equal tuples follows edit distance
 more closely than plain MinHash. DataFrame functions only: arrays inside a row, no exploding.
 
+A k-mer is one long: its hash and, in the lowest bits, its position. A text takes as many position bits
+as its k-mers need, so that any text fits (a string of 2 GB has fewer than 2^30 words) and short ones
+keep long hashes to tell repeats by. The ``HASH_BITS`` upper bits, which every text has, are the k-mer's
+identity in the tuples, so fingerprints of texts of any length compare.
+
 A fingerprint is the list of (bucket, 16-bit tuple hash), as hex; likeness is the number of equal
 entries over the number of buckets that either has.
 
@@ -23,8 +28,8 @@ from pixelmill.llm.common import parts
 
 K = 2
 BUCKETS = 64  # six bits
-POS_BITS = 26
-LOW = (1 << POS_BITS) - 1
+MOST_POS_BITS = 30  # 2^30 words don't fit in a string
+HASH_BITS = 64 - MOST_POS_BITS
 SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -33,8 +38,9 @@ def _count(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _base(x: Column) -> Column:
-    return F.shiftright(x, POS_BITS)
+def _name(x: Column) -> Column:
+    """The part of a k-mer's hash that every text has."""
+    return F.shiftright(x, MOST_POS_BITS)
 
 
 def _bucket(x: Column) -> Column:
@@ -46,41 +52,44 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
 
     Each step is a column of its own, so that arrays which a lambda indexes are computed once.
     """
-    w, n, a, b = f"{out}_w", f"{out}_n", f"{out}_a", f"{out}_b"
+    w, n, p, a, b = (f"{out}_{x}" for x in ("w", "n", "p", "a", "b"))
     keep = [c for c in df.columns]
     trimmed = F.btrim(F.col(text), F.lit(SPACE))
     df = df.withColumn(w, F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+")))
     df = df.withColumn(n, F.greatest(F.size(w) - (K - 1), F.least(F.size(w), F.lit(1))))
+    df = df.withColumn(p, F.length(F.bin(F.col(n).cast("long"))))  # position bits
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(p)) - 1
+    full = lambda x: F.call_function("shiftright", x, F.col(p))
     kmer = F.transform(
         _count(F.col(n)),
-        lambda i: F.xxhash64(*(F.get(F.col(w), i + j) for j in range(K))).bitwiseAND(F.lit(~LOW)).bitwiseOR(i.cast("long")),
+        lambda i: F.xxhash64(*(F.get(F.col(w), i + j) for j in range(K))).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")),
     )
-    df = df.select(*keep, F.sort_array(kmer).alias(a))
+    df = df.select(*keep, p, F.sort_array(kmer).alias(a))
     at = lambda j: F.get(F.col(a), j)
 
     def occurrence(x: Column, j: Column) -> Column:
         """j minus the start of the run of equal k-mers, which a binary search finds."""
         lo = F.aggregate(
-            F.array(*(F.lit(1 << s) for s in range(POS_BITS - 1, -1, -1))), j,
-            lambda p, s: F.when((p - s >= 0) & (_base(at(p - s)) == _base(x)), p - s).otherwise(p),
+            F.array(*(F.lit(1 << s) for s in range(MOST_POS_BITS - 1, -1, -1))), j,
+            lambda q, s: F.when((q - s >= 0) & (full(at(q - s)) == full(x)), q - s).otherwise(q),
         )
         return j - lo
 
     def numbered(x: Column, j: Column) -> Column:
-        same = lambda d: (j >= d) & (_base(at(j - d)) == _base(x))
+        same = lambda d: (j >= d) & (full(at(j - d)) == full(x))
         occ = F.when(~same(2), F.lit(1)).when(~same(3), F.lit(2)).when(~same(4), F.lit(3)).otherwise(occurrence(x, j))
-        again = F.xxhash64(_base(x), occ).bitwiseAND(F.lit(~LOW)).bitwiseOR(x.bitwiseAND(F.lit(LOW)))
-        return F.when((j > 0) & (_base(at(j - 1)) == _base(x)), again).otherwise(x)
+        again = F.xxhash64(_name(x), occ).bitwiseAND(F.bitwise_not(low)).bitwiseOR(x.bitwiseAND(low))
+        return F.when((j > 0) & (full(at(j - 1)) == full(x)), again).otherwise(x)
 
-    df = df.select(*keep, F.sort_array(F.transform(F.col(a), numbered)).alias(b))
+    df = df.select(*keep, p, F.sort_array(F.transform(F.col(a), numbered)).alias(b))
     first = F.filter(F.col(b), lambda x, j: (j < 2) | (_bucket(F.get(F.col(b), j - 2)) != _bucket(x)))
-    df = df.select(*keep, first.alias(a))
+    df = df.select(*keep, p, first.alias(a))
 
     def entry(j: Column) -> Column:
         x, y = at(j), at(j + 1)
         pair = y.isNotNull() & (_bucket(x) == _bucket(y))
-        swap = pair & (y.bitwiseAND(F.lit(LOW)) < x.bitwiseAND(F.lit(LOW)))
-        tup = F.when(~F.coalesce(pair, F.lit(False)), F.xxhash64(_base(x))).when(swap, F.xxhash64(_base(y), _base(x))).otherwise(F.xxhash64(_base(x), _base(y)))
+        swap = pair & (y.bitwiseAND(low) < x.bitwiseAND(low))
+        tup = F.when(~F.coalesce(pair, F.lit(False)), F.xxhash64(_name(x))).when(swap, F.xxhash64(_name(y), _name(x))).otherwise(F.xxhash64(_name(x), _name(y)))
         return (_bucket(x) * 65536 + tup.bitwiseAND(F.lit(0xFFFF))).cast("int")
 
     heads = F.filter(_count(F.size(a)), lambda j: (j == 0) | (_bucket(at(j - 1)) != _bucket(at(j))))

@@ -167,16 +167,15 @@ def brute_fingerprint(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
     k = order_minhash.K
     grams = [w[i : i + k] for i in range(len(w) - k + 1)] if len(w) >= k else [w] if w else []
-    low, out, seen = order_minhash.LOW, [], {}
+    p, seen, out = len(grams).bit_length() or 1, {}, []
     for i, g in enumerate(grams):
-        base = spark_hash(*g) >> order_minhash.POS_BITS
-        occ = seen[base] = seen.get(base, -1) + 1
-        v = base if not occ else spark_hash(Long(base), occ) >> order_minhash.POS_BITS
-        out.append(((v << order_minhash.POS_BITS), i))
+        h = spark_hash(*g)
+        occ = seen[h >> p] = seen.get(h >> p, -1) + 1
+        v = h if not occ else spark_hash(Long(h >> order_minhash.MOST_POS_BITS), occ)
+        out.append((v >> p, v >> order_minhash.MOST_POS_BITS, i))
     buckets = {}
-    for v, i in sorted(out):
-        buckets.setdefault((v & (2**64 - 1)) >> 58, []).append((v >> order_minhash.POS_BITS, i))
-    del low
+    for v, name, i in sorted(out):
+        buckets.setdefault((v & (2 ** (64 - p) - 1)) >> (58 - p), []).append((name, i))
     fp = {}
     for b, own in buckets.items():
         two = sorted(own[:2], key=lambda t: t[1])
