@@ -23,7 +23,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from itertools import pairwise
+from bisect import bisect_left
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -48,17 +49,24 @@ class Codec:
         self.tool = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         self.pattern = regex.compile(pattern)
 
-    def boundaries(self, chunk: str, lo: int) -> list[int]:
-        """Pre-token starts before white space from ``lo`` on; none in the last pre-token, which the chunk's end may have cut."""
-        starts = [m.start() for m in self.pattern.finditer(chunk)]
-        return [p for p in starts[:-1] if p >= lo and p and chunk[p].isspace() and not chunk[p - 1].isspace()]
+    def starts(self, chunk: str) -> list[int]:
+        """Where the pre-tokens of a chunk begin."""
+        ends = list(accumulate(map(len, self.pattern.findall(chunk)), initial=0))
+        if ends[-1] == len(chunk):  # they cover the chunk
+            return ends[:-1]
+        return [m.start() for m in self.pattern.finditer(chunk)]
 
     def zones(self, chunk: str, lead: int, overlap: int, first: bool, last: bool) -> tuple[list[int], list[int]]:
-        """Boundaries in the overlaps with the chunk before and the chunk after, relative to the chunk."""
-        all_ = [] if first and last else self.boundaries(chunk, 1)
-        left = [] if first else [p for p in all_ if p < lead + overlap]
-        right = [] if last else [p for p in all_ if p >= len(chunk) - 2 * overlap]
-        return left, right
+        """Boundaries before white space in the overlaps with the chunk before and the chunk after, relative to the chunk.
+
+        None are in the last pre-token, which the chunk's end may have cut.
+        """
+        if first and last:
+            return [], []
+        starts = self.starts(chunk)[:-1]
+        left = [] if first else starts[bisect_left(starts, 1) : bisect_left(starts, lead + overlap)]
+        right = [] if last else starts[bisect_left(starts, max(1, len(chunk) - 2 * overlap)) :]
+        return tuple([p for p in zone if chunk[p].isspace() and not chunk[p - 1].isspace()] for zone in (left, right))
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text: chunks, stitched, then encoded piece by piece."""
