@@ -6,11 +6,12 @@ length, depth, digit ratio, character entropy, parameter counts, hyphens, labels
 path part and suffix statistics: the smoothed share of blocked URLs, and the number of labelled
 ones, of the host's last label and of its last two, in ``BUCKETS`` hash buckets. The statistics
 cover all labelled rows; the trees are fitted on at most ``sample`` of them, those with the smallest
-hash, each without its own label in the statistics.
+hash, each without its own label in the statistics. Only their numbers go to the driver.
 
 Cases: a null url, or one without ``://``, has empty host and path, fits no rule and is judged from
 its empty features. Without labelled URLs of both kinds everything undecided gets the verdict of the
-only kind, else ``allow``. Repeated rows and ties are kept; extra columns are kept.
+only kind, else ``allow``. Very long URLs are read whole. Repeated rows and ties are kept; other columns
+are kept, and one that is named like an added one (in any case) is replaced by it.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import Shipped
+from pixelmill.llm.common import Shipped, ddl, without
 
 BUCKETS = 4096
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -149,31 +150,40 @@ def suffix_features(n: np.ndarray, blocked: np.ndarray, share: float) -> list[np
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], *, url_col: str = "url", sample: int = 20_000, cut: float = 0.5) -> DataFrame:
     """``pages`` with host, path, rule, verdict and score (the trees' probability of block; null where a rule decides)."""
-    host, path = host_and_path(F.col(url_col))
-    base = pages.withColumns({"host": host, "path": path})
+    pages = without(pages, ["host", "path", "rule", "verdict", "score"], url_col)
+    host, path = host_and_path(F.col(f"`{url_col}`").cast("string"))
+    base = pages.select("*", host.alias("host"), path.alias("path"))
     name, say = rule_of(F.col("host"), F.col("path"), rules)
-    base = base.withColumns({"rule": name, "__say": say, "__s1": suffix_bucket(F.col("host"), 1), "__s2": suffix_bucket(F.col("host"), 2)})
-    known = base.filter("__say is not null").select(F.col(url_col).cast("string").alias("url"), "host", "path", (F.col("__say") == "block").cast("int").alias("y"), "__s1", "__s2")
+    own = [F.col(f"`{url_col}`").cast("string").alias("__url"), say.alias("__say"), suffix_bucket(F.col("host"), 1).alias("__s1"), suffix_bucket(F.col("host"), 2).alias("__s2")]
+    base = base.select("*", name.alias("rule"), *own)
+    known = base.filter("__say is not null").select("__url", "host", "path", (F.col("__say") == "block").cast("int").alias("y"), "__s1", "__s2")
     # suffix statistics over all labelled rows: at most 2 * BUCKETS rows come back
     seen = known.select(F.explode(F.array("__s1", F.col("__s2") + BUCKETS)).alias("b"), "y").groupBy("b").agg(F.count("*").alias("n"), F.sum("y").alias("k")).collect()
     n, k = np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS)
     for r in seen:
         n[r["b"]], k[r["b"]] = r["n"], r["k"]
     share = (k.sum() + 1) / (n.sum() + 2)
-    some = known.orderBy(F.xxhash64("url", F.lit(3)), "url", "y").limit(sample).collect()
+
+    def measure(batches):
+        for b in batches:
+            c = b.to_pydict()
+            x = [lexical(u, h, p) for u, h, p in zip(c["__url"], c["host"], c["path"], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(3), b.column(4), b.column(5)], names=["x", "y", "s1", "s2"])
+
+    some = known.orderBy(F.xxhash64("__url", F.lit(3)), "__url", "y").limit(sample).mapInArrow(measure, "x array<double>, y int, s1 int, s2 int").toArrow()
     model = Boosted()
-    if some:
-        y = np.array([r["y"] for r in some], float)
-        x = np.array([lexical(r["url"], r["host"], r["path"]) for r in some])
-        b = np.array([[r["__s1"], r["__s2"] + BUCKETS] for r in some])
-        own = [c for j in (0, 1) for c in suffix_features(n[b[:, j]] - 1, k[b[:, j]] - y, share)]
-        model.fit(np.column_stack([x, *own]), y)
+    if len(some):
+        y = some["y"].to_numpy().astype(float)
+        x = some["x"].combine_chunks().flatten().to_numpy().reshape(len(some), -1)
+        b = np.stack([some["s1"].to_numpy(), some["s2"].to_numpy() + BUCKETS], 1)
+        stats = [c for j in (0, 1) for c in suffix_features(n[b[:, j]] - 1, k[b[:, j]] - y, share)]
+        model.fit(np.column_stack([x, *stats]), y)
     else:
         model.prior = -50.0
     sent = Shipped(pages.sparkSession, (model, n, k, share))
     names = base.columns
-    at = {c: names.index(c) for c in (url_col, "host", "path", "__say", "__s1", "__s2")}
-    out_names = [c for c in names if not c.startswith("__s")]
+    at = {c: names.index(c) for c in ("host", "path", "__url", "__say", "__s1", "__s2")}
+    out_names = names[: len(names) - len(own)]
 
     def run(batches):
         model, n, k, share = sent.get()
@@ -182,14 +192,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], *, url_col: str = "url
             todo = [i for i, s in enumerate(c["__say"]) if s is None]
             score: list = [None] * b.num_rows
             if todo:
-                x = np.array([lexical(c[url_col][i], c["host"][i], c["path"][i]) for i in todo])
+                x = np.array([lexical(c["__url"][i], c["host"][i], c["path"][i]) for i in todo])
                 s = np.array([[c["__s1"][i], c["__s2"][i] + BUCKETS] for i in todo])
                 x = np.column_stack([x, *(f for j in (0, 1) for f in suffix_features(n[s[:, j]], k[s[:, j]], share))])
                 for i, p in zip(todo, model.probability(x), strict=True):
                     score[i] = float(p)
             verdict = [s if s is not None else "block" if p >= cut else "allow" for s, p in zip(c["__say"], score, strict=True)]
-            keep = [b.column(names.index(x)) for x in out_names]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(verdict, pa.string()), pa.array(score, pa.float64())], names=[*out_names, "verdict", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(out_names)], pa.array(verdict, pa.string()), pa.array(score, pa.float64())], names=[*out_names, "verdict", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields if f.name in out_names)
-    return base.mapInArrow(run, f"{fields}, verdict string, score double")
+    return base.mapInArrow(run, f"{ddl(base.select(*out_names))}, verdict string, score double")
