@@ -15,8 +15,13 @@ and its spread by length; one with fewer than ``FEW`` is never held to narrower
 those of the others. A text further than ``tolerance`` spreads
 above its language's median is rejected, as is one without letters.
 
-Cases: a null text, or one without a letter, gets ``und`` and score 0. Rows with null language train
-nothing. Without any training row every text gets ``und``. Extra columns are ignored.
+The score is the share of the best language in the likelihoods of all, each taken over at most ``SURE``
+characters, as the full length would make every score 0 or 1; it decides nothing.
+
+Cases: a null text, or one without a letter (combining marks alone are none), gets ``und`` and score 0. Rows
+with null language train nothing. Without any training row every text gets ``und``. Repeated rows are kept,
+ties go to the first language by code point, an empty table gives an empty one. Other columns are kept;
+one that is named like an added one (in any case) is replaced by it.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import Shipped, materialize, small_batches
+from pixelmill.llm.common import Shipped, ddl, materialize, small_batches, without
 from pixelmill.llm.shingles import slices
 
 ORDER = 5
@@ -36,6 +41,7 @@ MASK = (1 << BITS) - 1
 FULL = [(1 << (BITS * o)) - 1 for o in range(ORDER + 1)]
 START, END = 1, 2  # code points that are no letters
 CACHE = 6_000_000  # log probabilities that are kept ready; any number gives the same results
+SURE = 60
 FEW = 30  # documents that are too few for limits of their own
 COLLECT = 2_000_000  # grams that go to the driver at once
 
@@ -63,7 +69,7 @@ def grams_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(cp)) - np.repeat(head, np.diff(np.append(head, len(cp))))
     gram = code.copy()
     for j in range(1, ORDER):
-        prev = np.concatenate([np.zeros(j, np.int64), code[:-j]])
+        prev = np.concatenate([np.zeros(j, np.int64), code])[: len(code)]
         gram |= np.where(place >= j, prev << (BITS * j), 0)
     off = np.append(head, len(cp)) - np.arange(len(head) + 1)
     return gram[place > 0], off
@@ -178,14 +184,14 @@ class Model:
 
     def judge(self, texts: pa.Array, tolerance: float) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
         """(language or und, score, rejected, lowest cross-entropy) of each text."""
-        if not self.languages:
+        if not self.languages or not len(texts):
             z = np.zeros(len(texts))
             return ["und"] * len(texts), z, np.ones(len(texts), bool), z
         h, length = self.entropies(texts)
         best = h.argmin(axis=1)
         low = h.min(axis=1)
-        score = 1 / np.exp(-(h - low[:, None]) * np.minimum(length, 60)[:, None]).sum(axis=1)
-        none = length == 0
+        score = 1 / np.exp(-(h - low[:, None]) * np.minimum(length, SURE)[:, None]).sum(axis=1)
+        none = ~pc.match_substring_regex(pc.fill_null(texts, ""), r"\p{L}").to_numpy(zero_copy_only=False)
         mu, a, b = np.array([self.limits.get(x, (np.inf, 0.0, 0.0)) for x in self.languages]).T
         far = low > mu[best] + tolerance * (a[best] + b[best] / np.sqrt(np.maximum(length, 1)))
         lang = np.array([*self.languages, "und"], dtype=object)[np.where(none, len(self.languages), best)]
@@ -286,6 +292,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", tolerance:
     """``docs`` with lang_pred, score, rejected and cross_entropy (nats per character)."""
     small_batches(docs.sparkSession)
     sent = Shipped(docs.sparkSession, model)
+    docs = without(docs, ["lang_pred", "score", "rejected", "cross_entropy"], text_col)
     names = docs.columns
 
     def run(batches):
@@ -296,8 +303,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", tolerance:
                 new = [pa.array(lang, pa.string()), pa.array(score), pa.array(rejected), pa.array(low)]
                 yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*names, "lang_pred", "score", "rejected", "cross_entropy"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean, cross_entropy double")
+    return docs.mapInArrow(run, f"{ddl(docs)}, lang_pred string, score double, rejected boolean, cross_entropy double")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
