@@ -16,11 +16,32 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pixelmill.llm import byte_bpe, language_id, order_minhash, pii, registry, simple8b, token_files, url_filter
+from pixelmill.llm import byte_bpe, language_id, oracles, order_minhash, pii, registry, simple8b, token_files, url_filter
 
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="module")
+def duck():
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(oracles.PARTS))
+def test_part_of_query_equals_sql(spark, duck, name):
+    got = registry.queries()[name](spark, "/root/testdata/sf0.01")
+    if name == "op2_url_filter":
+        got = got.withColumn("say", F.when(F.col("rule").isNotNull(), F.col("verdict")))
+    rel = duck.sql(oracles.PARTS[name])
+    tidy = lambda v: round(v, 3) if isinstance(v, float) else v
+    want = sorted((tuple(map(tidy, r)) for r in rel.fetchall()), key=str)
+    assert sorted((tuple(map(tidy, r)) for r in got.select(*rel.columns).collect()), key=str) == want and len(want) > 100
+
+
 # --- URL filter ----------------------------------------------------------------------
 
 
@@ -44,6 +65,98 @@ def test_hosts_paths_and_rules(spark):
         assert got[k]["verdict"] in ("allow", "block") and (say is None or got[k]["verdict"] == say)
 
 
+def test_url_clashing_columns_long_urls_and_repeats(spark):
+    long_ = "http://a.example.net/en/" + "x1/" * 100_000 + "?q=" + "9" * 100_000
+    rows = [(1, long_, "old", 1, "s"), (2, "http://b.net/" + "y" * 200_000, None, None, None), (3, "https://c.biz/1", "v", 2, "t"), (3, "https://c.biz/1", "v", 2, "t"), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, Verdict string, PATH int, __s3 string")
+    got = url_filter.judge(df, registry.RULES)
+    assert got.columns == ["page_id", "url", "__s3", "host", "path", "rule", "verdict", "score"]
+    by = {r["page_id"]: r for r in got.collect()}
+    assert got.count() == 5 and by[1]["verdict"] == "allow" and by[2]["verdict"] == "block" and len(by[1]["path"]) == 300_004 and by[3]["score"] is not None
+    assert url_filter.judge(df.limit(0), registry.RULES).count() == 0
+
+
+def brute_trees(model, x):
+    """Log odds by walking each tree from its root, one row at a time."""
+    out = []
+    for row in x:
+        total = model.prior
+        for feature, cut, left, right, value in model.trees:
+            at = 0
+            while feature[at] >= 0:
+                at = left[at] if row[feature[at]] <= cut[at] else right[at]
+            total += model.rate * value[at]
+        out.append(1 / (1 + np.exp(-total)))
+    return np.array(out)
+
+
+def brute_split(x, y, p, edges, ridge, least):
+    """The best first split by trying every edge."""
+    best = (0.0, -1, 0.0)
+    g, h = y - p, p * (1 - p)
+    for j, own in enumerate(edges):
+        for e in own:
+            low = x[:, j] <= e
+            if min(low.sum(), (~low).sum()) < least:
+                continue
+            gain = sum(g[s].sum() ** 2 / (h[s].sum() + ridge) for s in (low, ~low)) - g.sum() ** 2 / (h.sum() + ridge)
+            if gain > best[0] + 1e-9:
+                best = (gain, j, e)
+    return best
+
+
+def test_trees_against_brute_force():
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(300, 4)), 1)
+    y = ((x[:, 1] > 0.2) ^ (rng.random(300) < 0.1)).astype(float)
+    model = url_filter.Boosted(rounds=6).fit(x, y)
+    assert np.allclose(model.probability(x), brute_trees(model, x), atol=1e-12)
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, url_filter.BINS + 1)[1:-1])) for j in range(4)]
+    p = np.full(300, 1 / (1 + np.exp(-model.prior)))
+    _, feature, cut = brute_split(x, y, p, edges, model.ridge, model.least)
+    assert (model.trees[0][0][0], model.trees[0][1][0]) == (feature, cut)
+
+
+def test_url_query_against_brute_force(spark):
+    """The query's verdicts from features, statistics and trees computed row by row."""
+    sf = SF
+    pages = [(r["page_id"], r["url"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    got = {r["page_id"]: r for r in registry.op2_url_filter(spark, sf).collect()}
+    assert len(got) == len(pages) and {r["verdict"] for r in got.values()} <= {"allow", "block"}
+
+    def rule(host, path):
+        fits = [(len(r), r, say) for say, r in registry.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+        return max(fits)[1:] if fits else (None, None)
+
+    told = {}
+    for i, u in pages:
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        raw = re.split("[/?#]", rest, maxsplit=1)[0]
+        host, path = re.sub("[A-Z]", lambda m: m.group().lower(), raw), re.split("[?#]", rest[len(raw) :], maxsplit=1)[0]
+        told[i] = (host, path, *rule(host, path))
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == told[i][:3]
+        assert told[i][3] in (None, got[i]["verdict"]) and (got[i]["score"] is None) == (told[i][3] is not None)
+    bucket = lambda tail, labels: spark_hash(tail, labels) % url_filter.BUCKETS + (labels - 1) * url_filter.BUCKETS
+    own = lambda host: [bucket(".".join(host.split(".")[-k:]), k) for k in (1, 2)]
+    n, k = np.zeros(2 * url_filter.BUCKETS), np.zeros(2 * url_filter.BUCKETS)
+    known = [(u, *told[i]) for i, u in pages if told[i][3]]
+    for _, host, _, _, say in known:
+        for b in own(host):
+            n[b] += 1
+            k[b] += say == "block"
+    share = (k.sum() + 1) / (n.sum() + 2)
+    stat = lambda host, minus, hit: [f for b in own(host) for f in ((k[b] - hit + 5 * share) / (n[b] - minus + 5), np.log1p(n[b] - minus))]
+    known.sort(key=lambda r: (spark_hash(r[0], 3), r[0].encode(), r[4] == "block"))
+    y = np.array([r[4] == "block" for r in known], float)
+    x = np.array([url_filter.lexical(u, h, p) + stat(h, 1, hit) for (u, h, p, _, _), hit in zip(known, y, strict=True)])
+    model = url_filter.Boosted().fit(x, y)
+    rest = [i for i, _ in pages if told[i][3] is None]
+    urls = dict(pages)
+    want = brute_trees(model, np.array([url_filter.lexical(urls[i], *told[i][:2]) + stat(told[i][0], 0, 0) for i in rest]))
+    for i, p in zip(rest, want, strict=True):
+        assert abs(got[i]["score"] - p) < 1e-9 and got[i]["verdict"] == ("block" if p >= 0.5 else "allow")
+
+
 def test_trees_learn_labelled_urls():
     rng = random.Random(0)
     x, y = [], []
@@ -89,6 +202,76 @@ def test_language_edge_cases(spark):
     assert {r["lang_pred"] for r in language_id.predict(odd, none).collect()} == {"und"}
 
 
+def test_marks_alone_are_no_letters_and_clashing_columns(spark):
+    rows = [(i, ("the quick brown fox " if i % 2 else "der schnelle fuchs ") * 3, "en" if i % 2 else "de") for i in range(40)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    odd = [(1, "\u0301\u0308 \u0300", 0, 0), (2, "\u0301 12", 0, 0), (3, "e\u0301", 0, 0), (3, "e\u0301", 0, 0), (None, None, None, None)]
+    got = language_id.predict(spark.createDataFrame(odd, "doc_id long, text string, Score int, LANG_PRED int"), model)
+    assert got.columns == ["doc_id", "text", "lang_pred", "score", "rejected", "cross_entropy"]
+    by = {r["doc_id"]: r for r in got.collect()}
+    assert got.count() == 5 and [by[i]["lang_pred"] for i in (1, 2, None)] == ["und"] * 3 and by[3]["lang_pred"] in ("en", "de")
+    assert all(by[i]["score"] == 0 and by[i]["rejected"] for i in (1, 2, None))
+    assert language_id.predict(got.limit(0), model).count() == 0
+
+
+class BruteKneserNey:
+    """Interpolated Kneser-Ney by definition, over dictionaries of strings."""
+
+    def __init__(self, words):
+        order = language_id.ORDER
+        full = {}
+        for w in words:
+            s = "<" + w + ">"
+            for e in range(1, len(s)):
+                g = s[max(0, e - order + 1) : e + 1]
+                full[g] = full.get(g, 0) + 1
+        self.counts = {order: {g: c for g, c in full.items() if len(g) == order}}
+        for o in range(order - 1, 0, -1):
+            own = {g: c for g, c in full.items() if len(g) == o}  # at the start of words nothing stands before
+            for g in self.counts[o + 1]:
+                own[g[1:]] = own.get(g[1:], 0) + 1
+            self.counts[o] = own
+        self.symbols = len(self.counts[1]) + 1
+        self.discount = {}
+        for o, own in self.counts.items():
+            n1, n2 = (sum(c == k for c in own.values()) for k in (1, 2))
+            self.discount[o] = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 + n2 else 0.5
+
+    def p(self, g):
+        if not g:
+            return 1 / self.symbols
+        own, d, ctx = self.counts[len(g)], self.discount[len(g)], g[:-1]
+        after = [c for h, c in own.items() if h[:-1] == ctx]
+        if not after:
+            return self.p(g[1:])
+        return max(own.get(g, 0) - d, 0) / sum(after) + d * len(after) / sum(after) * self.p(g[1:])
+
+    def entropy(self, text):
+        total = n = 0
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            s = "<" + w + ">"
+            for e in range(1, len(s)):
+                total -= np.log(self.p(s[max(0, e - language_id.ORDER + 1) : e + 1]))
+                n += 1
+        return total / n
+
+
+def test_language_scores_against_brute_force(spark):
+    rng = random.Random(6)
+    vocab = {"aa": ["the", "quick", "fox", "jumped", "over", "fences"], "bb": ["der", "schnelle", "fuchs", "über", "zäune", "sprang"], "cc": ["le", "renard", "saute", "où", "être", "clôture"]}
+    rows = [(i, " ".join(rng.choices(vocab[x], k=rng.randrange(1, 8))) + " 12!", x) for i, x in enumerate(rng.choices(list(vocab), k=60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    brute = {x: BruteKneserNey([w for _, t, y in rows if y == x for w in re.findall(r"[^\W\d_]+", t)]) for x in vocab}
+    tests = [(i, t) for i, t, _ in rows[:15]] + [(100, "Fox über la clôture"), (101, "xyzzy ño"), (102, "THE der LE")]
+    for r in language_id.predict(spark.createDataFrame(tests, "doc_id long, text string"), model).collect():
+        h = {x: b.entropy(r["text"]) for x, b in brute.items()}
+        best = min(h, key=h.get)
+        n = sum(len(w) + 1 for w in re.findall(r"[^\W\d_]+", r["text"].lower()))
+        assert r["cross_entropy"] == pytest.approx(h[best], abs=1e-6) and r["lang_pred"] == best
+        assert r["score"] == pytest.approx(1 / sum(np.exp(-(x - h[best]) * min(n, language_id.SURE)) for x in h.values()), abs=1e-6)
+
+
 def test_no_gram_of_a_small_language_is_lost(spark):
     rng = np.random.default_rng(3)
     noise = [" ".join("".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (1500, 8))) for _ in range(200)]  # 2 million grams
