@@ -20,6 +20,11 @@ Cases: a null or wordless text has an empty set and links with nothing; equal se
 node; fewer words than k are one shingle. A row without id gets a null component and links nothing.
 Rows that repeat an id are kept; they are one node. Extra columns are ignored. Shingles and sets are
 compared by 64-bit hashes.
+
+Keys meet in buckets, whose number follows from the counted sizes of the sets. A key that a sample shows
+to be held by many sets (a third of all, say) is dealt to several slots by member; its slots share
+one head, the smallest member of all, and go on as one segment set. Members are kept in rows of at
+most ``ROW``.
 """
 
 from __future__ import annotations
@@ -41,6 +46,10 @@ FLUSH = 1_500_000  # keys that a task holds before it hands them on
 BLOCK = 1024
 MOST_WORDS = 1024  # of a sketch: 65,536 parity bits
 SHARD_ROWS = 100_000
+BUCKET_KEYS = 500_000  # keys that meet in one task, about
+HOT = 30  # sets of the sample that hold a key whose members may be dealt to slots
+SLOT = 250_000  # members of a slot, about
+ROW = 100_000  # members in a row
 NEAREST = (1, 8, None)  # partners of a member that a later round takes; the last takes all that are left
 WHOLE = 8  # sets of so many members are compared pair by pair at once
 
@@ -118,6 +127,35 @@ def segment_keys(values: np.ndarray, off: np.ndarray, num: int, den: int, freque
     return np.concatenate(sets), np.concatenate(keys)
 
 
+class Slots:
+    """The keys whose members are dealt: slot ``first[i] + (a hash of the member) % n[i]`` of key i."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.n = keys[order], n[order]
+        self.first = np.cumsum(self.n) - self.n
+
+    def of(self, keys: np.ndarray, sigs: np.ndarray) -> np.ndarray:
+        """The slot of each key and member, -1 for keys that meet in one place."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        salt = (mix(sigs.view(U) ^ U(7)) % self.n[at].astype(U)).astype(np.int64)
+        return np.where(self.keys[at] == keys, self.first[at] + salt, -1)
+
+    def owner(self, slot: int) -> int:
+        return int(np.searchsorted(self.first, slot, side="right")) - 1
+
+
+def most_keys(rows: DataFrame, num: int, den: int) -> int:
+    """About how many keys the sets of ``rows`` (n) emit at most, from counts by size."""
+    sizes = rows.filter("n > 0").groupBy(F.floor(F.log2("n") * 4).alias("bin")).agg(F.count("*").alias("k"), F.max("n").alias("n")).collect()  # four rows a power of two
+    if not sizes:
+        return 0
+    every = bands(-(-max(r["n"] for r in sizes) * den // num), num, den)
+    return sum(r["k"] * sum(min(r["n"], g) for least, hi, most, g in every if most and least <= r["n"] <= hi) for r in sizes)
+
+
 def parity_bits(values: np.ndarray, off: np.ndarray) -> list[bytes]:
     """The parity sketch of each set: a shingle flips one of at least n bits, a power of two."""
     n = np.diff(off)
@@ -177,9 +215,10 @@ def links_of_documents(
 
     rows = materialize(src.mapInArrow(profile, "doc_id long, n long, s1 long, s2 long, sketch binary"), "profiles")
     classes = rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    buckets = max(64, 2 * parts(spark))
-
-    every = max(1, docs.count() // SAMPLE)
+    buckets = max(parts(spark), -(-most_keys(rows, num, den) // BUCKET_KEYS))
+    documents = docs.count()
+    every = max(1, documents // SAMPLE)
+    some = materialize(src.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0), "sample")
 
     def sampled(batches):
         for big in batches:
@@ -189,12 +228,23 @@ def links_of_documents(
                 u, c = np.unique(np.concatenate([v[off[i] : off[i + 1]] for i in one]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], names=["v", "c"])
 
-    some = src.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).mapInArrow(sampled, "v long, c long")
-    often = some.groupBy("v").agg(F.sum("c").alias("c")).filter(F.col("c") >= OFTEN).select("v").toArrow()  # bounded by the sample
-    sent = Shipped(spark, Frequent(often["v"].to_numpy().view(U)))
+    often = some.mapInArrow(sampled, "v long, c long").groupBy("v").agg(F.sum("c").alias("c")).filter(F.col("c") >= OFTEN).select("v").toArrow()  # bounded by the sample
+    frequent_ = Frequent(often["v"].to_numpy().view(U))
+
+    def held_keys(batches):
+        for big in batches:
+            for b in slices(big, "text", SLICE):
+                v, off = shingle_sets(b.column(1), k)
+                who, key = segment_keys(v, off, num, den, frequent_)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(set_signature(v, off)[0][who])], names=["key", "s1"])
+
+    shared = some.mapInArrow(held_keys, "key long, s1 long").distinct().groupBy("key").agg(F.count("*").alias("c"))
+    shared = shared.withColumn("n", F.ceil(F.col("c") * (every / SLOT))).filter((F.col("c") >= HOT) & (F.col("n") > 1)).toArrow()  # bounded by the sample
+    slots = Slots(shared["key"].to_numpy().view(U), 1 << np.ceil(np.log2(np.maximum(shared["n"].to_numpy(), 1))).astype(np.int64))
+    sent = Shipped(spark, (frequent_, slots))
 
     def emit(batches):
-        frequent = sent.get()
+        frequent, slots = sent.get()
         held: list[tuple] = []
 
         def flush():
@@ -206,19 +256,20 @@ def links_of_documents(
             # within a task, copies are one set
             sig, inv = np.unique(sig, return_inverse=True)
             who = inv[who]
-            to = ((key >> U(32)) % U(buckets)).astype(np.int64)
-            order = np.lexsort((who, key.astype(np.uint32), to))
-            to, low, who = to[order], key[order].astype(np.uint32), who[order]
+            slot = slots.of(key, sig[who])
+            to = np.where(slot < 0, ((key >> U(32)) % U(buckets)).astype(np.int64), buckets + slot)
+            low = np.where(slot < 0, key & U(0xFFFFFFFF), U(0)).astype(np.uint32)
+            order = np.lexsort((who, low, to))
+            to, low, who = to[order], low[order], who[order]
             new = np.ones(len(to), bool)
             new[1:] = (to[1:] != to[:-1]) | (low[1:] != low[:-1]) | (who[1:] != who[:-1])
             to, low, who = to[new], low[new], who[new]
-            at = np.searchsorted(to, np.arange(buckets + 1))
             cols: list[list] = [[], [], [], []]
-            for x in np.flatnonzero(np.diff(at)):
-                a, b = at[x], at[x + 1]
+            edge = np.flatnonzero(np.diff(to, prepend=-1, append=-1))
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
                 used, idx = np.unique(who[a:b], return_inverse=True)
                 kind = np.uint16 if len(used) <= 65536 else np.uint32
-                for c, y in zip(cols, (int(x), low[a:b].tobytes(), idx.astype(kind).tobytes(), sig[used].tobytes()), strict=True):
+                for c, y in zip(cols, (int(to[a]), low[a:b].tobytes(), idx.astype(kind).tobytes(), sig[used].tobytes()), strict=True):
                     c.append(y)
             return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *map(_binary, cols[1:])], names=["bucket", "low", "idx", "sigs"])
 
@@ -244,9 +295,9 @@ def links_of_documents(
         low, sig = np.concatenate(lows), np.concatenate(sigs)
         order = np.argsort(low, kind="stable")
         low, sig = low[order], sig[order]
-        twin = np.zeros(len(low), bool)
-        twin[1:] = low[1:] == low[:-1]
-        twin[:-1] |= twin[1:]
+        twin = np.full(len(low), t["bucket"][0].as_py() >= buckets)
+        twin[1:] |= low[1:] == low[:-1]
+        twin[:-1] |= low[1:] == low[:-1]
         low, sig = low[twin], sig[twin]
         order = np.lexsort((sig, low))
         low, sig = low[order], sig[order]
@@ -255,32 +306,47 @@ def links_of_documents(
         low, sig = low[new], sig[new]
         start = np.flatnonzero(np.diff(low.astype(np.int64), prepend=-1))
         size = np.diff(np.append(start, len(low)))
-        ids, members = np.zeros(0, np.int64), []
+        slot = t["bucket"][0].as_py() - buckets
+        hot = slots.owner(slot) if slot >= 0 else -1
+        ids = np.zeros(0, np.int64)
         if len(start):
-            with np.errstate(over="ignore"):
-                ids = mix(np.add.reduceat(mix(sig.view(U)), start)).view(np.int64)
-            ids[size < 2] = 0
+            ids = mix(np.add.reduceat(mix(sig.view(U)), start)).view(np.int64)
+            least = 1 if hot >= 0 else 2
+            ids[size < least] = 0
             ids, at = np.unique(ids, return_index=True)
-            ids, at = ids[size[at] > 1], at[size[at] > 1]
-            members = [sig[start[i] : start[i] + size[i]].tobytes() for i in at]
-        return pa.table({"set_id": ids, "size": np.array([len(m) // 8 for m in members], np.int64), "members": _binary(members)})
+            ids, at = ids[size[at] >= least], at[size[at] >= least]
+        cols: list[list] = [[], [], [], [], [], []]
+        for i, x in zip(at if len(start) else (), ids, strict=True):
+            for part, a in enumerate(range(start[i], start[i] + size[i], ROW)):
+                own = sig[a : min(a + ROW, start[i] + size[i])]
+                for c, y in zip(cols, (int(x), part, hot, int(size[i]), int(sig[start[i]]), own.tobytes()), strict=True):
+                    c.append(y)
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:5]), _binary(cols[5])], names=["set_id", "part", "hot", "size", "head", "members"])
 
-    blobs = src.mapInArrow(emit, "bucket long, low binary, idx binary, sigs binary")
-    met = blobs.groupBy("bucket").applyInArrow(meet, "set_id long, size long, members binary")
-    sets = materialize(met.dropDuplicates(["set_id"]), "sets")
+    blobs = src.mapInArrow(emit, "bucket long, low binary, idx binary, sigs binary").repartition(buckets, "bucket")
+    met = blobs.groupBy("bucket").applyInArrow(lambda t: pa.Table.from_batches([meet(t)]), "set_id long, part long, hot long, size long, head long, members binary")
+    if len(slots.keys):  # the slots of a key share the smallest member of all
+        met = materialize(met, "slots")
+        heads = met.filter("hot >= 0").groupBy("hot").agg(F.min("head").alias("top"), F.sum(F.when(F.col("part") == 0, F.col("size"))).alias("all"))
+        met = met.join(F.broadcast(heads), "hot", "left").withColumns({"head": F.coalesce("top", "head"), "size": F.coalesce("all", "size")})  # bounded by the sample
+    sets = materialize(met.dropDuplicates(["set_id", "head", "part"]).select("head", "size", "members"), "sets")
 
     def stars(batches):
         for b in batches:
             out = []
-            for m in b.column(0).to_pylist():
+            for head, size, m in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 x = np.frombuffer(m, np.int64)
-                i, j = np.triu_indices(len(x), 1) if len(x) <= WHOLE else (np.zeros(len(x) - 1, int), np.arange(1, len(x)))
-                out.append(np.stack([x[i], x[j]]))
+                if size <= WHOLE and size == len(x):
+                    i, j = np.triu_indices(len(x), 1)
+                    out.append(np.stack([x[i], x[j]]))
+                else:
+                    x = x[x != head]
+                    out.append(np.stack([np.full(len(x), head), x]))
             if out:
                 p = np.unique(np.concatenate(out, axis=1), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
 
-    pairs = materialize(sets.select("members").mapInArrow(stars, "a long, b long").distinct(), "stars")
+    pairs = materialize(sets.select("head", "size", "members").mapInArrow(stars, "a long, b long").distinct(), "stars")
     nodes = pairs.select(F.col("a").alias("s1")).unionAll(pairs.select("b")).distinct()
     sketches = materialize(rows.filter("n > 0").join(nodes, "s1", "left_semi").select("s1", "n", "sketch").dropDuplicates(["s1"]), "sketches")
 
@@ -335,9 +401,9 @@ def links_of_documents(
     # later rounds: larger sets whose members are not in one component yet
     def rows_of(batches):
         for b in batches:
-            m = [np.frombuffer(x, np.int64) for x in b.column(0).to_pylist()]
+            m = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
             if m:
-                p = np.unique(np.stack([np.repeat([x[0] for x in m], [len(x) for x in m]), np.concatenate(m)]), axis=1)
+                p = np.unique(np.stack([np.repeat(b.column(0).to_numpy(), [len(x) for x in m]), np.concatenate(m)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["set_id", "node"])
 
     def across(most: int | None):
@@ -393,7 +459,7 @@ def links_of_documents(
         return run
 
     # sets with the same smallest member are taken together: near copies meet in many segments
-    inside = materialize(sets.filter(F.col("size") > WHOLE).select("members").mapInArrow(rows_of, "set_id long, node long").distinct(), "members")
+    inside = materialize(sets.filter(F.col("size") > WHOLE).select("head", "members").mapInArrow(rows_of, "set_id long, node long").distinct(), "members")
     texts, comp = None, connected_components(edges)
     for most in NEAREST:
         placed = materialize(inside.join(comp, "node", "left").select("set_id", "node", F.coalesce("component", "node").alias("comp")), "placed")

@@ -164,6 +164,31 @@ def test_documents_against_brute_force(spark, whole, monkeypatch):
     assert {i: r["component_id"] for i, r in got.items()} == comp
 
 
+@pytest.mark.parametrize("row", [10, 1000])
+def test_members_of_hot_keys_are_dealt_to_slots(spark, row, monkeypatch):
+    """Slots of five members, many keys: the same components as brute force."""
+    monkeypatch.setattr(PJ, "HOT", 4)
+    monkeypatch.setattr(PJ, "SLOT", 5)
+    monkeypatch.setattr(PJ, "ROW", row)
+    monkeypatch.setattr(PJ, "BUCKET_KEYS", 500)
+    made = []
+    init = PJ.Slots.__init__
+    monkeypatch.setattr(PJ.Slots, "__init__", lambda self, keys, n: (made.append(n.copy()), init(self, keys, n))[1])
+    rng = random.Random(11)
+    base = [f"v{i}" for i in range(60)]
+    texts = [t for _, t in corpus(3)][:60]
+    for i in range(70):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 5])):
+            w[rng.randrange(len(w))] = f"x{i}"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in PJ.links_of_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert made and made[0].max() > 1  # the branch was taken
+    n, comp = brute_documents(rows)
+    assert got == {i: (n[i], comp[i]) for i, _ in rows}
+
+
 def test_documents_of_the_small_tables(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in d.select("doc_id", "text").collect()]
