@@ -306,6 +306,21 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", tolerance:
     return docs.mapInArrow(run, f"{ddl(docs)}, lang_pred string, score double, rejected boolean, cross_entropy double")
 
 
+def accepted(docs: DataFrame, model: Model, *, text_col: str = "text", tolerance: float = 8.0) -> DataFrame:
+    """The rows of ``docs``, as they are, that the model doesn't reject."""
+    small_batches(docs.sparkSession)
+    sent = Shipped(docs.sparkSession, model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        model = sent.get()
+        for big in batches:
+            for b in slices(big, text_col):
+                yield b.filter(pa.array(~model.judge(b.column(at), tolerance)[2]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
     """Whether the CRC of the id as text puts a row into the held-out fold (a null id is not)."""
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))

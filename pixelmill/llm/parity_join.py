@@ -17,8 +17,8 @@ segment are still in different components, take each member with its nearest one
 by sketch, and the last takes every pair of different components that is left.
 
 Cases: a null or wordless text has an empty set and links with nothing; equal sets (copies) are one
-node; fewer words than k are one shingle. A row without id gets a null component and links nothing.
-Rows that repeat an id are kept; they are one node. Extra columns are ignored. Shingles and sets are
+node; fewer words than k are one shingle. A row without id gets a null component id.
+Rows that repeat an id are kept, each judged by its own text. Extra columns are ignored. Shingles and sets are
 compared by 64-bit hashes.
 
 Keys meet in buckets, whose number follows from the counted sizes of the sets. A key that a sample shows
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import Shipped, bitmap, connected_components, in_bitmap, materialize, parts, small_batches
+from pixelmill.llm.common import Shipped, bitmap, connected_components, drop_ids, in_bitmap, materialize, parts, small_batches
 from pixelmill.llm.shingles import U, mix, set_signature, shingle_sets, slices
 
 SAMPLE = 3000  # documents, about, in which frequent shingles are looked for; any choice of them gives the same links
@@ -196,7 +196,8 @@ def _binary(blobs: list[bytes]) -> pa.Array:
 def links_of_documents(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 75, den: int = 100
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (smallest id with the same set), for every row of ``docs``.
+    """doc_id, n_shingles, component_id, class_id (smallest id with the same set), text_hash and component_key (equal
+    inside a component, whatever its ids; null without words), for every row of ``docs``.
 
     Only the components are complete. The links that they rest on are neither all found nor returned:
     of a segment set of more than ``WHOLE`` members, pairs inside one component are not looked at again.
@@ -204,16 +205,17 @@ def links_of_documents(
     spark = docs.sparkSession
     small_batches(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    hashed = src.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
 
     def profile(batches):
         for big in batches:
             for b in slices(big, "text", SLICE):
                 v, off = shingle_sets(b.column(1), k)
                 s1, s2 = set_signature(v, off)
-                cols = [b.column(0), pa.array(np.diff(off)), pa.array(s1), pa.array(s2), _binary(parity_bits(v, off))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "s1", "s2", "sketch"])
+                cols = [b.column(0), b.column(2), pa.array(np.diff(off)), pa.array(s1), pa.array(s2), _binary(parity_bits(v, off))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "n", "s1", "s2", "sketch"])
 
-    rows = materialize(src.mapInArrow(profile, "doc_id long, n long, s1 long, s2 long, sketch binary"), "profiles")
+    rows = materialize(hashed.mapInArrow(profile, "doc_id long, text_hash long, n long, s1 long, s2 long, sketch binary"), "profiles")
     classes = rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     buckets = max(parts(spark), -(-most_keys(rows, num, den) // BUCKET_KEYS))
     documents = docs.count()
@@ -488,10 +490,33 @@ def links_of_documents(
         if not more.isEmpty():
             edges = materialize(edges.unionAll(more), "edges")
             comp = connected_components(edges)
-    by_id = edges.join(reps.select(F.col("s1").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("s1").alias("b"), F.col("rep").alias("rb")), "b")
-    whole = connected_components(by_id.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    known = classes.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component"))
+    joined = classes.join(comp.select(F.col("node").alias("s1"), "component"), "s1")
+    tops = joined.groupBy("component").agg(F.min("rep").alias("top"))
+    known = joined.join(tops, "component").select("n", "s1", "s2", "component", "top")
+    known = classes.join(known, ["n", "s1", "s2"], "left").select(
+        "n", "s1", "s2", F.col("rep").alias("class_id"), F.coalesce("component", "s1").alias("component_key"), F.coalesce("top", "rep").alias("top")
+    )
     return rows.drop("sketch").join(known, ["n", "s1", "s2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
-        F.coalesce("class_id", "doc_id").alias("class_id"),
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id")).alias("component_id"),
+        F.coalesce("class_id", "doc_id").alias("class_id"), "text_hash", "component_key",
     )
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component: the smallest id (rows without id last), then text hash.
+
+    Rows are told apart by id and text; of rows that repeat the first one, one stays. Texts without words all stay.
+    """
+    linked = materialize(links_of_documents(docs, id_col=id_col, text_col=text_col, **options), "linked").filter("component_key is not null")
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    keyed = linked.select("component_key", F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", key.alias("key")).alias("row"))
+    groups = keyed.groupBy("component_key").agg(F.min("row").alias("first"), F.count("*").alias("m")).filter("m > 1")
+    told = materialize(keyed.join(groups, "component_key").select(F.col("row.key").alias("key"), F.col("first.key").alias("first")), "told")
+    gone = told.filter("key <> first").select(F.col("key").alias("__row"))
+    repeated = materialize(told.filter("key = first").groupBy(F.col("key").alias("__row")).agg(F.count("*").alias("m")).filter("m > 1").select("__row"), "repeated")
+    row = F.xxhash64(F.col(id_col).cast("long").isNull(), F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")))
+    named = docs.withColumn("__row", row)
+    kept = drop_ids(named, gone.unionAll(repeated), "__row")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(named.join(repeated, "__row", "left_semi").dropDuplicates(["__row"]))
+    return kept.select(*docs.columns)

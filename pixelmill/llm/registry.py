@@ -36,7 +36,7 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parity_join.links_of_documents(read_table(spark, sf_dir, "documents")).drop("class_id")
+    return parity_join.links_of_documents(read_table(spark, sf_dir, "documents")).drop("class_id", "text_hash", "component_key")
 
 
 def op6_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

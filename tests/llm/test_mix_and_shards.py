@@ -1,6 +1,9 @@
 """Mixing, sharding and the pipeline."""
 
+import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -40,6 +43,33 @@ def test_flight_keeps_probabilities():
     assert np.abs(mean - x).max() < 0.04
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_flight_against_the_null_space(seed):
+    """The cube method by definition: a null vector of the constraints by singular values, for three units at a time."""
+    rng = np.random.default_rng(seed)
+    n = 40
+    x, a, b = rng.random(n), rng.integers(1, 3, n).astype(float), rng.integers(1, 60, n).astype(float)
+    draws = rng.random(3 * n)
+    y, live, r = x.copy(), [], iter(draws)
+    for k in range(n):
+        live.append(k)
+        if len(live) < 3:
+            continue
+        u = np.linalg.svd(np.stack([a[live], b[live]]))[2][-1]
+        i, j, m = live
+        if np.dot(u, [a[j] * b[m] - a[m] * b[j], a[m] * b[i] - a[i] * b[m], a[i] * b[j] - a[j] * b[i]]) < 0:
+            u = -u
+        p = y[live]
+        with np.errstate(divide="ignore"):
+            up = np.where(u > 0, (1 - p) / u, np.where(u < 0, -p / u, np.inf)).min()
+            down = np.where(u > 0, p / u, np.where(u < 0, (p - 1) / u, np.inf)).min()
+        p = p + (up if next(r) * (up + down) < down else -down) * u
+        y[live] = np.where(np.abs(p) < 1e-7, 0, np.where(np.abs(p - 1) < 1e-7, 1, p))
+        live = [q for q in live if 0 < y[q] < 1]
+    got = cube_mixing.flight(x, a, b, draws, False)
+    assert np.allclose(got, y, atol=1e-5)
+
+
 def test_mix_of_the_small_tables(spark):
     a = registry.op6_cube_mixing(spark, SF).collect()
     b = registry.op6_cube_mixing(spark, SF).collect()
@@ -142,11 +172,59 @@ def test_pipeline_stages_take_effect(spark):
     stay = {r["doc_id"] for r in kept["language_id"]}
     assert {r["doc_id"] for r in kept["parity_join"]} == {i for i in stay if i == min(j for j in stay if comp[j] == comp[i])}
     assert len(kept["pii"]) == len(kept["parity_join"])
-    from pixelmill.llm.pii import all_spans, masked
-
+    hits = 0
     for r in kept["pii"]:
-        assert r["text"] == masked(texts[r["doc_id"]], all_spans(texts[r["doc_id"]])[1]) and r["n_chars"] == len(r["text"])
+        before = texts[r["doc_id"]]
+        gone = [m.group() for p in PLAIN for m in re.finditer(p, before)]
+        hits += len(gone)
+        assert r["n_chars"] == len(r["text"]) and not any(g in r["text"] for g in gone)
+        if not gone and re.fullmatch(r"[\w .,;\n]*", before) and before.isascii() and " at " not in before:
+            assert r["text"] == before
+    assert hits >= 5
     assert sorted(r["doc_id"] for r in kept["byte_bpe"]) == sorted(r["doc_id"] for r in kept["cube_mixing"])
+    once = {r["doc_id"] for r in kept["parity_join"]}
+    taken = Counter(r["doc_id"] for r in kept["cube_mixing"])
+    assert set(taken) <= once and max(taken.values()) <= 2
+    size = {r["doc_id"]: len(r["text"].split()) for r in kept["pii"]}
+    per, goal = Counter(), Counter()
+    for r in kept["pii"]:
+        goal[r["source"]] += size[r["doc_id"]]
+        per[r["source"]] += size[r["doc_id"]] * taken[r["doc_id"]]
+    want = cube_mixing.water_fill(dict(goal), (3, 1, 2), 1.5, 2.0)
+    assert all(abs(per[s] - want[s]) <= 0.1 * want[s] + 300 for s in want)
+
+
+PLAIN = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"\+[0-9][ ().0-9-]{9,14}[0-9]")
+
+
+def test_pipeline_of_nulls_repeats_and_extra_columns(spark):
+    words = {"en": "the quick brown fox jumped over the lazy dog and ran home".split(), "de": "der schnelle braune fuchs sprang über den faulen hund nach haus".split()}
+    rng = random.Random(5)
+    rows = []
+    for i in range(80):
+        lang = "en" if i % 2 else "de"
+        text = " ".join(rng.choices(words[lang], k=30)) + (" mail x@y.zz" if i % 5 == 0 else "")
+        rows.append((i, text, lang, ("web", "book", None)[i % 3], len(text)))
+    rows += [(200, rows[3][1], None, None, 1), (3, rows[3][1], "en", "book", 1), (None, rows[4][1], None, "web", None), (201, None, None, None, None), (202, "", "en", "web", 0), (None, None, None, None, None), (203, "12 34 !!", "en", None, 8)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    extra = docs.selectExpr("*", "1 as score", "'r' as rejected", "2L as s1", "'k' as spans", "5 as copies", "'x' as component_id")
+    out = {}
+    for some in (docs, extra, docs.limit(0)):
+        d = some
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            d = stage(spark, d, SF)
+            assert d.columns == some.columns
+            out.setdefault(name, []).append(sorted(map(tuple, d.select("doc_id", "text", "source").collect()), key=str))
+        d = corpus_pipeline.STAGES[-1][1](spark, d, SF)
+        out.setdefault("tokens", []).append(sorted(map(tuple, d.select("doc_id", "n_tokens", "ids_sha256").collect()), key=str))
+    for name, (plain, wide, none) in out.items():
+        assert plain == wide and plain and none == [], name
+    first = [r[0] for r in out["language_id"][0]]
+    assert not {201, 202, 203} & set(first) and len(first) == 83
+    kept = out["parity_join"][0]
+    assert len(kept) == len(set(kept)) and not any(r[0] in (200, None) for r in kept)
+    assert not any("x@y.zz" in r[1] for r in out["pii"][0]) and any("[EMAIL]" in r[1] for r in out["pii"][0])
 
 
 def test_pipeline_runs(spark):

@@ -201,9 +201,19 @@ def test_documents_without_id_and_empty(spark):
     schema = "doc_id long, text string"
     got = PJ.links_of_documents(spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (2, "A b c d e f")], schema)).collect()
     assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [(0, 0), (2, 2), (3, 2)]
+    assert len({r["component_key"] for r in got}) == 1
     assert PJ.links_of_documents(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, near, other = "a b c d e f g h i j k l m n o p q r s t", "a b c d e f g h i j k l m n o p q r s t u", "z1 z2 z3 z4 z5 z6 z7"
+    rows = [(5, a), (5, a), (9, near), (None, a), (7, other), (9, other), (None, None), (None, None), (1, ""), (2, " "), (None, "only here and nowhere else"), (4, "x1 x2 x3 x4 x5 x6"), (None, "x1 x2 x3 x4 x5 x6")]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, s1 int").repartition(3)
+    got = sorted(((r["doc_id"] or 0, r["text"] or "-") for r in PJ.one_of_each(docs).collect()))
+    assert got == sorted([(5, a), (7, other), (0, "-"), (0, "-"), (1, "-"), (2, " "), (0, "only here and nowhere else"), (4, "x1 x2 x3 x4 x5 x6")])
+    assert PJ.one_of_each(docs).columns == docs.columns and PJ.one_of_each(docs.limit(0)).count() == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 2**32), st.floats(0, 1))
 def test_similar_sets_share_a_segment(n, seed, part):
