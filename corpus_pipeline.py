@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns a DataFrame
 with the columns of documents (the last one: tokens). run() writes each result as Parquet in the
-shared folder and reads it again for the next stage.
+shared folder and reads it again for the next stage. Null texts and texts without letters go in the
+first stage; rows that repeat a document count as copies of it; other columns pass through all
+stages but the last; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -11,20 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelmill.llm import byte_bpe, cube_mixing, language_id, parity_join, pii
-from pixelmill.llm.common import drop_ids, materialize, read_table
+from pixelmill.llm.common import materialize, read_table
 from pixelmill.llm.registry import BPE_RANKS, public_tokenizers
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the language models reject: no letters, or unlike every language."""
     model = language_id.fit(docs.filter(~language_id.held_out()))
-    return language_id.predict(docs, model).filter(~F.col("rejected")).select(*docs.columns)
+    return language_id.accepted(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that with the smallest id, of each group of linked documents."""
-    linked = materialize(parity_join.links_of_documents(docs), "linked")
-    return drop_ids(docs, linked.filter("doc_id <> component_id").select("doc_id"), "doc_id").select(*docs.columns)
+    return parity_join.one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
