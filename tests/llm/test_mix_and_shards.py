@@ -185,13 +185,14 @@ def test_pipeline_stages_take_effect(spark):
     once = {r["doc_id"] for r in kept["parity_join"]}
     taken = Counter(r["doc_id"] for r in kept["cube_mixing"])
     assert set(taken) <= once and max(taken.values()) <= 2
-    size = {r["doc_id"]: len(r["text"].split()) for r in kept["pii"]}
-    per, goal = Counter(), Counter()
+    size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in kept["pii"]}
+    per, goal, most = Counter(), Counter(), Counter()
     for r in kept["pii"]:
         goal[r["source"]] += size[r["doc_id"]]
         per[r["source"]] += size[r["doc_id"]] * taken[r["doc_id"]]
+        most[r["source"]] = max(most[r["source"]], size[r["doc_id"]])
     want = cube_mixing.water_fill(dict(goal), (3, 1, 2), 1.5, 2.0)
-    assert all(abs(per[s] - want[s]) <= 0.1 * want[s] + 300 for s in want)
+    assert all(abs(per[s] - want[s]) <= most[s] + 1 for s in want)
 
 
 PLAIN = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r"\+[0-9][ ().0-9-]{9,14}[0-9]")
