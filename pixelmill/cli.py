@@ -14,7 +14,7 @@ from pixelmill.functions.kernels import detect_dark
 from pixelmill.operators import dedup, features, models, regions, splits
 from pixelmill.sources import images, manifest, prepare, sinks
 
-DEFAULTS = {"seed": 42, "width": 1024, "height": 1536, "near_distance": 4, "groups": list(features.REGION_FEATURES), "candidates": "full"}
+DEFAULTS = {"seed": 42, "width": 1024, "height": 1536, "near_distance": 4, "groups": features.GROUPS, "candidates": "full"}
 
 
 def merged(base: dict, over: dict) -> dict:
@@ -32,14 +32,22 @@ def load_config(path: str | None) -> dict:
         return merged(DEFAULTS, json.load(f))
 
 
-def wide_features(spark: SparkSession, long_: DataFrame, samples: DataFrame, groups: list[str]) -> DataFrame:
-    """One row of region statistics per sample, with the no-detection indicator."""
+def wide_features(long_: DataFrame, samples: DataFrame, groups: list[str]) -> DataFrame:
+    """One row per sample with processing_status, processing_error and the model columns; failed samples have no values."""
     names = [n for n, _ in features.region_registry(groups)]
-    ok = long_.filter("status = 'ok'").select("sample_id", "feature", "value")
-    wide = regions.wide_row(regions.aggregate_long(ok), names)
-    seen = long_.filter("region_id is not null").select("sample_id").distinct().withColumn("__seen", F.lit(True))
-    out = samples.join(wide, "sample_id", "left").join(seen, "sample_id", "left")
-    return out.withColumn(features.INDICATOR, F.col("__seen").isNull().cast("double")).drop("__seen")
+    boxes = long_.filter("status = 'region'").select("sample_id", "x", "y", "w", "h", "iw", "ih")
+    failed = long_.filter("status = 'failed'").groupBy("sample_id").agg(F.min("reason").alias("processing_error"))
+    out = samples.join(failed, "sample_id", "left").join(regions.image_level(boxes), "sample_id", "left")
+    if names:
+        ok = long_.filter("status = 'ok'").select("sample_id", "feature", "value")
+        out = out.join(regions.wide_row(regions.aggregate_long(ok), names), "sample_id", "left")
+    lives = F.col("processing_error").isNull()
+    none = F.col("`density.region_count`").isNull()
+    out = out.withColumn(features.INDICATOR, F.when(lives, none.cast("double")))
+    density = [n for n in features.image_features(groups) if n.startswith("density.")]
+    out = out.withColumns({n: F.when(lives, F.coalesce(F.col(f"`{n}`"), F.lit(0.0))) for n in density})
+    status = F.when(~lives, "failed").when(F.col(f"`{features.INDICATOR}`") == 1, "no_detection").otherwise("ok")
+    return out.select(*samples.columns, status.alias("processing_status"), "processing_error", *(F.col(f"`{c}`") for c in features.model_columns(groups)))
 
 
 def cmd_prepare(spark: SparkSession, a: argparse.Namespace, config: dict) -> dict:
@@ -55,7 +63,7 @@ def cmd_validate(spark: SparkSession, a: argparse.Namespace, config: dict) -> di
 
 def cmd_split(spark: SparkSession, a: argparse.Namespace, config: dict) -> dict:
     m = manifest.load(spark, a.manifest).filter("inclusion_status = 'included'")
-    out = splits.group_split(m.drop("split"), "group_id", "label", config["seed"])
+    out = splits.group_split(m.drop("split"), "group_id", "label", config["seed"], sha="sha256")
     sinks.write_manifest(out, f"{a.out}/splits")
     return {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
 
@@ -64,13 +72,13 @@ def cmd_extract(spark: SparkSession, a: argparse.Namespace, config: dict) -> dic
     """Features of the PNG files of two label folders."""
     files = manifest.class_folders(spark, a.root, {"non_ai_generated": a.real, "ai_generated": a.ai})
     files = files.withColumn("sample_id", F.xxhash64("sha256"))
-    raster = images.rasters(files).filter("rgb is not null")
-    long_ = features.extract(raster, detect_dark, config["groups"])
-    labels = files.select("sample_id", "label").dropDuplicates(["sample_id"])
-    wide = wide_features(spark, long_, labels, config["groups"])
+    files = files.dropDuplicates(["sample_id"])
+    long_ = features.extract(images.rasters(files), detect_dark, config["groups"])
+    wide = wide_features(long_, files.select("sample_id", "label"), config["groups"])
     sinks.write_features(long_, wide, a.out)
     sinks.write_json(f"{a.out}/feature_schema.json", json.loads(features.schema_json(config["groups"])))
-    return {"files": files.count()}
+    status = {r["processing_status"]: r["count"] for r in spark.read.parquet(f"{a.out}/image_features").groupBy("processing_status").count().collect()}
+    return {"files": sum(status.values()), "failed": status.get("failed", 0), "no_detection": status.get("no_detection", 0)}
 
 
 def cmd_train(spark: SparkSession, a: argparse.Namespace, config: dict) -> dict:
@@ -98,7 +106,7 @@ def cmd_predict(spark: SparkSession, a: argparse.Namespace, config: dict) -> dic
         content = f.read()
     files = spark.createDataFrame([(0, bytearray(content))], "sample_id long, content binary")
     long_ = features.extract(images.rasters(files), detect_dark, config["groups"])
-    row = model.score(wide_features(spark, long_, files.select("sample_id"), config["groups"])).first()
+    row = model.score(wide_features(long_, files.select("sample_id"), config["groups"])).first()
     return {"score": row["model_score"], "label": "ai_generated" if row["model_score"] >= model.threshold else "non_ai_generated"}
 
 

@@ -271,8 +271,10 @@ def lbp_uniform(g: np.ndarray) -> np.ndarray:
     return np.where(changes <= 2, b.sum(axis=0), 9)
 
 
-def glcm(g: np.ndarray) -> tuple[float, float]:
-    """(contrast, homogeneity) of 16 gray levels at distance 1, mean over four angles."""
+def glcm(g: np.ndarray) -> tuple[float | None, float | None]:
+    """(contrast, homogeneity) of 16 gray levels at distance 1, mean over four angles; none where a side is under 2."""
+    if min(g.shape) < 2:
+        return None, None
     q = g.astype(int) * 16 // 256
     h, w = q.shape
     con, hom = [], []

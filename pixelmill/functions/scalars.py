@@ -102,6 +102,8 @@ def clip_box(x: Column, y: Column, w: Column, h: Column, width: Column, height:
 
 
 def padded_box(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column, ratio: float = 0.05) -> Column:
-    """The box widened by a share of its sides (rounded half to even), inside the image."""
-    px, py = F.bround(w * ratio), F.bround(h * ratio)
-    return clip_box(x - px, y - py, w + 2 * px, h + 2 * py, width, height)
+    """The box with its edges moved out by a share of its sides, each edge rounded half to even, inside the image."""
+    share = F.lit(ratio)
+    x0, y0 = F.greatest(F.bround(x - w * share), F.lit(0)), F.greatest(F.bround(y - h * share), F.lit(0))
+    x1, y1 = F.least(F.bround(x + w + w * share), width), F.least(F.bround(y + h + h * share), height)
+    return F.when((x1 > x0) & (y1 > y0), F.struct(x0.alias("x"), y0.alias("y"), (x1 - x0).alias("w"), (y1 - y0).alias("h")))

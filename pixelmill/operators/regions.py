@@ -236,6 +236,18 @@ def row_alignment(regions: DataFrame, key: str = "sample_id", tolerance: float =
     return _with_rows(gathered(regions, key), tolerance).select(key, row_error().alias("row_error"))
 
 
+def image_level(regions: DataFrame, key: str = "sample_id", tolerance: float = 0.02) -> DataFrame:
+    """Density and layout features of each image with regions, by their full names."""
+    g = _with_rows(_edges(gathered(regions, key)), tolerance)
+    whole = F.greatest(F.lit(1), F.col("iw") * F.col("ih"))
+    return g.select(
+        key, F.size("boxes").cast("double").alias("density.region_count"), (F.aggregate("boxes", F.lit(0).cast("long"), lambda s, b: s + b["w"] * b["h"]) / whole).alias("density.area_sum_ratio"),
+        covered().alias("density.union_coverage"), spread("x", "w", "iw").alias("layout.centroid_dispersion_x"), spread("y", "h", "ih").alias("layout.centroid_dispersion_y"),
+        mean_iou().alias("layout.overlap_ratio"), least_gap("x").alias("layout.nearest_horizontal_gap"), least_gap("y").alias("layout.nearest_vertical_gap"),
+        row_error().alias("layout.row_alignment_error"),
+    )
+
+
 def image_row(regions: DataFrame, images: DataFrame, key: str = "sample_id") -> DataFrame:
     """All box-based columns of an image's row; images without regions have nulls and no_detection 1.
 

@@ -10,7 +10,7 @@ from pixelmill.operators import models as M
 from pixelmill.operators import profiles as P
 from pixelmill.operators import splits as SP
 from pixelmill.plans.region_queries import rounded
-from pixelmill.plans.tables import SCORED_SQL, manifest, scored
+from pixelmill.plans.tables import MANIFEST_SQL, SCORED_SQL, manifest, scored
 
 COEFFICIENTS = {"score": 2.5, "length": -0.001, "square": 1e-07, "noise": 0.25}
 GROUPS = {"score": "signal", "length": "size", "square": "size", "noise": "signal"}
@@ -117,6 +117,11 @@ PARTS = f"""{LONG}, k AS (SELECT * FROM (VALUES ('score', 'signal', 2.5::DOUBLE)
 parts AS (SELECT sample_id, feature, "group", coalesce(value, 0.0::DOUBLE) * c AS contribution FROM long JOIN k USING (feature))"""
 
 ORACLE = {
+    "fold_choice": f"""WITH {MANIFEST_SQL}, f AS (SELECT group_id % 7 AS fold, label, count(*) AS c FROM manifest GROUP BY 1, 2),
+a AS (SELECT label, count(*) AS n FROM manifest GROUP BY 1), g AS (SELECT DISTINCT fold FROM f),
+s AS (SELECT g.fold, sum(coalesce(c, 0)) AS n, abs(sum(coalesce(c, 0)) / (SELECT count(*) FROM manifest) - 0.15) + sum(abs(coalesce(c, 0) / a.n - 0.15)) AS loss
+  FROM g CROSS JOIN a LEFT JOIN f ON f.fold = g.fold AND f.label = a.label GROUP BY g.fold)
+SELECT CAST(fold AS INTEGER) AS fold, CAST(n AS BIGINT) AS n FROM s ORDER BY round(loss, 12), fold LIMIT 1""",
     "confusion_metrics": f"""{W}, c AS (SELECT toxic, count(*) FILTER (label = 0 AND score < 0.5) AS tn, count(*) FILTER (label = 0 AND score >= 0.5) AS fp, count(*) FILTER (label = 1 AND score < 0.5) AS fn,
 count(*) FILTER (label = 1 AND score >= 0.5) AS tp FROM scored GROUP BY toxic)
 SELECT toxic, tn, fp, fn, tp, round((tn + tp) / (tn + fp + fn + tp), 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall,

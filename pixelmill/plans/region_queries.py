@@ -146,8 +146,8 @@ DENSITY_SQL = "SELECT sample_id, count(*) AS region_count, round(CAST(sum(w * h)
 DISPERSION_SQL = """SELECT sample_id, round(stddev_pop(CAST(x + w AS DOUBLE) / 2 / iw), 11) AS dispersion_x, round(stddev_pop(CAST(y + h AS DOUBLE) / 2 / ih), 11) AS dispersion_y
 FROM regions GROUP BY sample_id"""
 PAD_SQL = f"""WITH {REGIONS_SQL},
-pad AS (SELECT *, CAST(round_even(w * 0.05::DOUBLE, 0) AS INT) AS px, CAST(round_even(h * 0.05::DOUBLE, 0) AS INT) AS py FROM regions),
-box AS (SELECT *, greatest(x - px, 0) AS x0, greatest(y - py, 0) AS y0, least(x + w + px, iw) AS x1, least(y + h + py, ih) AS y1 FROM pad)
+box AS (SELECT *, greatest(0, CAST(round_even(x - w * 0.05::DOUBLE, 0) AS INT)) AS x0, greatest(0, CAST(round_even(y - h * 0.05::DOUBLE, 0) AS INT)) AS y0,
+  least(iw, CAST(round_even(x + w + w * 0.05::DOUBLE, 0) AS INT)) AS x1, least(ih, CAST(round_even(y + h + h * 0.05::DOUBLE, 0) AS INT)) AS y1 FROM regions)
 SELECT format('{{}}-r{{:03d}}', sample_id, ord) AS region_id, CAST(x0 AS BIGINT) AS pad_x, CAST(y0 AS BIGINT) AS pad_y, CAST(x1 - x0 AS BIGINT) AS pad_w, CAST(y1 - y0 AS BIGINT) AS pad_h
 FROM box"""
 CLIP_SQL = f"""WITH {REGIONS_SQL},

@@ -17,7 +17,7 @@ FORMATS = ("PNG", "JPEG", "WEBP")
 STATUSES = ("included", "excluded", "review")
 SPLITS = ("train", "validation", "test")
 EXTENSIONS = ("png", "jpg", "jpeg", "webp")
-BLOCKED = ("label", "split", "path", "sha256", "source", "generator", "provenance", "acquisition", "category", "group_id", "filename")
+BLOCKED = ("recognized_text", "ocr", "word", "semantic", "language", "merchant", "amount", "filename", "relative_path", "source_id", "generator")
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str] = COLUMNS) -> DataFrame:
@@ -32,13 +32,14 @@ def with_violations(m: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """
     c = F.col
     num = lambda k: c(k).try_cast("int")
-    label, status = prototype_label(c("label")), F.coalesce(F.nullif(F.trim("inclusion_status"), F.lit("")), F.lit("included"))
+    label, status = prototype_label(c("label")), F.lower(F.coalesce(F.nullif(F.trim("inclusion_status"), F.lit("")), F.lit("included")))
+    category = F.lower(F.trim("category"))
     wrong = [
         (F.coalesce(F.trim("sample_id"), F.lit("")) == "", "sample_id"),
         (~safe_relative_path(F.coalesce("relative_path", F.lit(""))), "relative_path"),
         (label.isNull(), "label"),
         (~status.isin(*STATUSES), "inclusion_status"),
-        ((status == "included") & ~F.coalesce(c("category") == "receipt", F.lit(False)), "category"),
+        ((status == "included") & ~F.coalesce(category == "receipt", F.lit(False)), "category"),
         ((status != "included") & (F.coalesce(F.trim("exclusion_reason"), F.lit("")) == ""), "exclusion_reason"),
         (F.coalesce(num("width"), F.lit(0)) <= 0, "width"),
         (F.coalesce(num("height"), F.lit(0)) <= 0, "height"),
@@ -60,7 +61,7 @@ def with_violations(m: DataFrame, files: DataFrame | None = None) -> DataFrame:
     out = m.withColumn("violations", bad).join(dup, "sample_id", "left")
     out = out.withColumn("violations", F.when(c("__n") > 1, F.array_append("violations", F.lit("duplicate sample_id"))).otherwise(c("violations")))
     typed = {
-        "label": label, "width": num("width"), "height": num("height"), "format": F.upper("format"), "inclusion_status": status, "split": F.nullif("split", F.lit("")),
+        "label": label, "category": category, "width": num("width"), "height": num("height"), "format": F.upper("format"), "inclusion_status": status, "split": F.nullif("split", F.lit("")),
         "generator_id": F.coalesce(F.nullif(F.trim("generator_id"), F.lit("")), F.lit("unknown")), "exclusion_reason": F.coalesce("exclusion_reason", F.lit("")),
     }
     return out.withColumns(typed).select(*COLUMNS, "violations")
@@ -150,6 +151,8 @@ def read_features(spark: SparkSession, df: DataFrame, splits: DataFrame, key: st
     blocked = [c for c in features if any(t in c.lower() for t in BLOCKED)]
     if blocked:
         raise ValueError(f"columns that are not features: {blocked}")
+    if "processing_status" in df.columns and not df.filter("processing_status = 'failed'").isEmpty():
+        raise ValueError("the matrix has failed rows")
     if not df.groupBy(key).count().filter("count > 1").isEmpty() or not df.filter(F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")) == "").isEmpty():
         raise ValueError("sample ids must be unique and not empty")
     from pixelmill.functions.scalars import label_code

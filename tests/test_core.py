@@ -87,7 +87,9 @@ def test_boxes(spark):
     lit = lambda *v: [F.lit(x) for x in v]
     assert tuple(one(spark, S.clip_box(*lit(-4, 7, 20, 8, 12, 10)))) == (0, 7, 12, 3)
     assert one(spark, S.clip_box(*lit(20, 0, 5, 5, 12, 10))) is None
-    assert tuple(one(spark, S.padded_box(*lit(2, 2, 10, 30, 12, 100)))) == (2, 0, 10, 34)  # half to even: 0.5 -> 0, 1.5 -> 2
+    assert tuple(one(spark, S.padded_box(*lit(2, 2, 10, 30, 12, 100)))) == (2, 0, 10, 34)  # half to even: 1.5 -> 2, 0.5 -> 0, 33.5 -> 34
+    assert tuple(one(spark, S.padded_box(*lit(3, 10, 10, 10, 100, 100)))) == (2, 10, 12, 10)  # 2.5 -> 2, 13.5 -> 14, 9.5 -> 10, 20.5 -> 20
+    assert X.padded_crop((3, 10, 10, 10), 100, 100, 0.05) == (2, 10, 14, 20)
     poly = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((1.2, 2.8), (5.1, 3.0), (2.0, 7.5))))
     assert tuple(one(spark, S.polygon_box(poly))) == (1, 2, 6, 8)
 
@@ -267,6 +269,34 @@ def test_kernels_on_a_bar():
     assert set(v) == {n for n, _ in X.region_registry()}
 
 
+def test_shapes_by_hand():
+    g = np.full((10, 20), 250, np.uint8)
+    g[2:6, 2:6], g[2:6, 10:18] = 0, 0  # areas 16 and 32
+    v = X.region_features(g, (0, 0, 20, 10), (100, 100))
+    assert v["shape.component_count"] == 2 and v["shape.component_area_median"] == pytest.approx(24 / 200)
+    assert v["shape.component_aspect_median"] == pytest.approx((1 + 2) / 2) and v["shape.hole_count"] == 0
+    assert X._shapes(np.eye(4, dtype=bool) & False) == {}
+    dots = np.zeros((9, 9), bool)
+    dots[1, 1] = dots[5, 5] = True  # components under three pixels don't count
+    assert X._shapes(dots) == {}
+
+
+def test_thin_crops_and_crops_without_foreground():
+    for shape in ((1, 1), (1, 3), (5, 1)):
+        v = X.region_features(np.arange(np.prod(shape), dtype=np.uint8).reshape(shape) * 40, (0, 0, *shape[::-1]), (10, 10))
+        assert v["texture.glcm_contrast"] is None and v["texture.glcm_homogeneity"] is None
+    flat = X.region_features(np.full((8, 8), 90, np.uint8), (0, 0, 8, 8), (10, 10))
+    assert all(flat[n] is None for n in flat if n.startswith(("stroke.", "shape.")))
+    assert (flat["texture.glcm_contrast"], flat["texture.glcm_homogeneity"]) == (0, 1)
+
+
+def test_names_groups_and_formulas():
+    rows = {r["name"]: r for r in X.feature_dictionary()}
+    assert rows["layout.overlap_ratio"]["group"] == "spacing_alignment" and rows["shape.hole_count"]["group"] == "stroke_shape"
+    assert rows["gradient.magnitude_p90.max"]["formula_id"] == "gradient-sobel-p90-v1" and rows["quality.no_detection"]["model_input"]
+    assert {r["group"] for r in rows.values()} == {*X.GROUPS, "quality"} and len(rows) == 34 + 282
+
+
 def test_tiny_and_empty_crops():
     v = X.region_features(np.zeros((2, 2), np.uint8), (0, 0, 2, 2), (10, 10))
     assert v["sharpness.laplacian_variance"] is None and v["gradient.orientation_entropy"] is None
@@ -307,7 +337,8 @@ def test_hashes():
 def test_localize_reasons():
     polys = [[(0, 0), (1, 0), (1, 1), (0, 1)], [(30, 30), (40, 30), (40, 40)], [], [("a", "b"), (1, 2), (3, 4)], [(0, 0), (float("nan"), 1), (2, 2)], [(-4, -3), (18, -3), (18, 12), (-4, 12)]]
     boxes, reasons = X.localize(polys, 20, 20)
-    assert reasons == ["too_small", "outside_image", "malformed_polygon", "non_numeric_point", "non_finite_point"]
+    assert reasons == ["too_small", "empty_after_clipping", "malformed_polygon", "malformed_point", "malformed_point"]
+    assert X.localize([None, 5, [(1, 1), (2,), (3, 3)], [(0, 0), (2.5, 0), (2.5, 2.5)], [(0, 0), (2, 0), (2, 9)]], 20, 20)[1] == ["malformed_polygon", "malformed_polygon", "malformed_point", "too_small"]
     assert boxes[0]["flags"] == ["clipped_geometry"] and (boxes[0]["x"], boxes[0]["w"], boxes[0]["h"]) == (0, 18, 12)
 
 
@@ -404,7 +435,7 @@ def test_feature_scan(spark):
     out, features = MF.read_features(spark, df, splits)
     assert features == ["f"] and {r["sample_id"]: (r["label"], r["split"]) for r in out.collect()} == {"a": (0, "train"), "b": (1, None)}
     with pytest.raises(ValueError, match="not features"):
-        MF.read_features(spark, df.withColumn("file_path", F.lit(1)), splits)
+        MF.read_features(spark, df.withColumn("relative_path_length", F.lit(1)), splits)
     with pytest.raises(ValueError, match="not numbers"):
         MF.read_features(spark, df.withColumn("g", F.lit("abc")), splits)
     with pytest.raises(ValueError, match="unique"):
@@ -512,11 +543,11 @@ def test_extract_train_evaluate_predict(spark, tmp_path):
         with open(f"{root}/{'fake' if r['label'] == 'ai_generated' else 'real'}/{r['sample_id']}.png", "wb") as f:
             f.write(I.encode_png(np.frombuffer(r["rgb"], np.uint8).reshape(r["height"], r["width"], 3)))
     config = f"{tmp_path}/c.json"
-    K2.write_json(config, {"groups": ["geometry", "contrast"], "candidates": "lr"})
+    K2.write_json(config, {"groups": ["geometry_density", "contrast_sharpness"], "candidates": "lr"})
     go = lambda *a: cli.main([*a, "--config", config], spark)
     assert go("extract-features", "--root", root, "--real", "real", "--ai", "fake", "--out", f"{tmp_path}/f") == 0
     wide = spark.read.parquet(f"{tmp_path}/f/image_features")
-    assert wide.count() == 20 and len(wide.columns) == 2 + (7 + 3) * 8 + 1
+    assert wide.count() == 20 and len(wide.columns) == 4 + (7 + 5) * 8 + 3 + 1
     split = F.when(F.pmod("sample_id", F.lit(3)) == 0, "validation").when(F.pmod("sample_id", F.lit(3)) == 1, "test").otherwise("train")
     wide.select("sample_id", split.alias("split")).write.option("header", True).csv(f"{tmp_path}/s")
     assert go("train", "--features", f"{tmp_path}/f", "--splits", f"{tmp_path}/s", "--out", f"{tmp_path}/m") == 0
@@ -526,6 +557,56 @@ def test_extract_train_evaluate_predict(spark, tmp_path):
     assert json.load(open(f"{tmp_path}/q/run_manifest.json"))["status"] == "failed"
 
 
+def test_extract_gives_every_column_and_failed_rows(spark, tmp_path):
+    from pixelmill import cli
+
+    root = f"{tmp_path}/data"
+    for label in ("real", "fake"):
+        os.makedirs(f"{root}/{label}")
+    for k, r in enumerate(I.fixtures(spark, 1).collect()):
+        with open(f"{root}/real/{k}.png", "wb") as f:
+            f.write(I.encode_png(np.frombuffer(r["rgb"], np.uint8).reshape(r["height"], r["width"], 3)))
+    open(f"{root}/fake/blank.png", "wb").write(I.encode_png(np.full((40, 30, 3), 255, np.uint8)))
+    open(f"{root}/fake/bad.png", "wb").write(b"broken")
+    assert cli.main(["extract-features", "--root", root, "--real", "real", "--ai", "fake", "--out", f"{tmp_path}/f"], spark) == 0
+    wide = spark.read.parquet(f"{tmp_path}/f/image_features")
+    names = json.load(open(f"{tmp_path}/f/feature_schema.json"))["model_columns"]
+    assert len(names) == 282 and wide.columns == ["sample_id", "label", "processing_status", "processing_error", *names]
+    rows = wide.collect()
+    status = sorted(r["processing_status"] for r in rows)
+    assert status == ["failed", "no_detection", *["ok"] * (len(rows) - 2)]
+    for r in rows:
+        if r["processing_status"] == "failed":
+            assert r["processing_error"] and all(r[n] is None for n in names) and r["label"] == "ai_generated"
+        elif r["processing_status"] == "no_detection":
+            assert r["quality.no_detection"] == 1 and (r["density.region_count"], r["density.union_coverage"]) == (0, 0) and r["layout.overlap_ratio"] is None
+        else:
+            assert r["quality.no_detection"] == 0 and r["density.region_count"] >= 1 and 0 < r["density.union_coverage"] <= 1 and r["layout.overlap_ratio"] is not None
+    with pytest.raises(ValueError, match="failed rows"):
+        MF.read_features(spark, wide, wide.select("sample_id", F.lit("train").alias("split")))
+
+
+def test_blocked_columns_and_manifest_case(spark):
+    wide = spark.createDataFrame([(1, "ai_generated", 1.0)], "sample_id long, label string, ocr_len double")
+    with pytest.raises(ValueError, match="not features"):
+        MF.read_features(spark, wide, wide.select("sample_id", F.lit("train").alias("split")))
+    row = {c: "x" for c in MF.COLUMNS} | {"relative_path": "a/b.png", "label": "ai_generated", "category": "Receipt", "inclusion_status": "Included", "width": "3", "height": "4", "format": "png", "sha256": "A" * 64, "split": ""}
+    got = MF.with_violations(spark.createDataFrame([tuple(row.values())], list(row))).first()
+    assert got["violations"] == [] and (got["category"], got["inclusion_status"]) == ("receipt", "included")
+
+
+def test_best_fold_by_definition(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.integers(0, 5)), rng.choice(["a", "b"], p=[0.8, 0.2]).item()) for _ in range(90)]
+    per = {x: sum(lab == x for _, lab in rows) for x in "ab"}
+    loss = {
+        f: abs(sum(g == f for g, _ in rows) / 90 - 0.2) + sum(abs(sum((g, lab) == (f, x) for g, lab in rows) / per[x] - 0.2) for x in per) for f in range(5)
+    }
+    got = SP.best_fold(spark.createDataFrame(rows, "f int, label string"), "f", "label", 0.2).first()
+    want = min(loss, key=lambda f: (round(loss[f], 12), f))
+    assert (got["fold"], got["n"]) == (want, sum(g == want for g, _ in rows)) and got["loss"] == pytest.approx(loss[want])
+
+
 # --- preparation and reviews ------------------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from pixelmill.plans import catalog
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
-ROWS_ONLY = ("fit_", "permutation", "region_kernels", "group_split", "fold_choice", "row_alignment")
+ROWS_ONLY = ("fit_", "permutation", "region_kernels", "group_split", "row_alignment")
 
 
 @pytest.fixture(scope="module")
