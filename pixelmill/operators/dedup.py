@@ -100,9 +100,14 @@ def unique_ids(df: DataFrame, base: Column, order: list[str]) -> DataFrame:
 def balanced_sample(df: DataFrame, label: str, id_col: str, seed: int) -> DataFrame:
     """Add selected: as many rows of each label as the smallest has, by the hash of seed and id."""
     h = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")), 256)
-    n = F.row_number().over(Window.partitionBy(label).orderBy(h, id_col))
-    least = min((r["count"] for r in df.groupBy(label).count().collect()), default=0)
-    return df.withColumn("__n", n).withColumn("selected", F.col("__n") <= least).drop("__n")
+    df = df.withColumn("__h", h).withColumn("__part", F.substring("__h", 1, 3))  # 4,096 ranges of the hash
+    sizes = df.groupBy(label, "__part").agg(F.count("*").alias("__k"))
+    before = F.coalesce(F.sum("__k").over(Window.partitionBy(label).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    least = sizes.groupBy(label).agg(F.sum("__k").alias("__all")).agg(F.min("__all").alias("__least"))
+    known = sizes.select(F.col(label).alias("__label"), F.col("__part").alias("__p"), before.alias("__before")).crossJoin(F.broadcast(least))
+    n = F.row_number().over(Window.partitionBy(label, "__part").orderBy("__h", id_col))
+    out = df.withColumn("__n", n).join(F.broadcast(known), F.col(label).eqNullSafe(F.col("__label")) & (F.col("__part") == F.col("__p")))
+    return out.withColumn("selected", F.col("__n") + F.col("__before") <= F.col("__least")).drop("__h", "__part", "__n", "__label", "__p", "__before", "__least")
 
 
 def balanced_shuffle(df: DataFrame, label: str, id_col: str, seeds: dict[str, int]) -> DataFrame:

@@ -39,24 +39,23 @@ def threshold_sweep(df: DataFrame, label: str, score: str, default: float) -> Da
     return out.select("threshold", tp.cast("long").alias("tp"), fp.cast("long").alias("fp"), fn.cast("long").alias("fn"), ratio(tp, tp + fp).alias("precision"), f_score(tp, fp, fn).alias("f1"))
 
 
-def running_totals(df: DataFrame, key: str, values: list[str], descending: bool = False, ranges: int | None = None) -> DataFrame:
-    """Add cum_<v>: the sum over keys up to and including this one, without one global window.
+def running_totals(df: DataFrame, key: str, values: list[str], descending: bool = False, ranges: int | None = None, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Add cum_<v>: the sum over keys up to and including this one, within ``by``, without a window over a whole column.
 
-    Keys are cut at approximate quantiles; exact totals of the ranges before (one row a range) are
-    added to a window inside each range.
+    Keys are cut at approximate quantiles of each ``by``; exact totals of the ranges before (a row for each range)
+    are added to a window inside each range. Where a key belongs is a binary search in its array of cuts.
     """
-    spark = df.sparkSession
-    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    qs = sorted(set(df.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 10000).alias("q")).first()["q"] or []))
-    part = F.lit(0)
-    for i, q in enumerate(qs):
-        part = F.when(F.col(key) > F.lit(q), F.lit(i + 1)).otherwise(part)
-    df = df.withColumn("__part", part)
-    w = Window.partitionBy("__part").orderBy(F.col(key).desc() if descending else F.col(key))
-    sums = df.groupBy("__part").agg(*(F.sum(v).alias(f"__t_{v}") for v in values))
-    order = Window.orderBy(F.col("__part").desc() if descending else F.col("__part")).rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("__part", *(F.coalesce(F.sum(f"__t_{v}").over(order), F.lit(0)).alias(f"__b_{v}") for v in values))
-    out = df.withColumns({f"cum_{v}": F.sum(v).over(w) for v in values}).join(F.broadcast(before), "__part")
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = df.groupBy(*by).agg(F.array_sort(F.array_distinct(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 10000))).alias("__cuts"))
+    steps = F.array(*(F.lit(1 << b) for b in range(max(1, n).bit_length(), -1, -1)))
+    below = lambda at, step: F.coalesce(F.get(F.col("__cuts"), at + step - 1) < F.col(key), F.lit(False))
+    part = F.aggregate(steps, F.lit(0), lambda at, step: F.when(below(at, step), at + step).otherwise(at))
+    df = (df.join(F.broadcast(cuts), by) if by else df.crossJoin(F.broadcast(cuts))).withColumn("__part", part).drop("__cuts")  # a row for each ``by``
+    w = Window.partitionBy(*by, "__part").orderBy(F.col(key).desc() if descending else F.col(key))
+    sums = df.groupBy(*by, "__part").agg(*(F.sum(v).alias(f"__t_{v}") for v in values))
+    order = Window.partitionBy(*by).orderBy(F.col("__part").desc() if descending else F.col("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*by, "__part", *(F.coalesce(F.sum(f"__t_{v}").over(order), F.lit(0)).alias(f"__b_{v}") for v in values))
+    out = df.withColumns({f"cum_{v}": F.sum(v).over(w) for v in values}).join(F.broadcast(before), [*by, "__part"])
     return out.withColumns({f"cum_{v}": F.col(f"cum_{v}") + F.col(f"__b_{v}") for v in values}).drop("__part", *(f"__b_{v}" for v in values))
 
 
@@ -72,10 +71,10 @@ def best_threshold(df: DataFrame, label: str, score: str, default: float) -> Dat
 
 
 def average_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Add rank: the mean rank of equal values within ``by``."""
-    w = Window.partitionBy(*by).orderBy(value)
-    same = F.count("*").over(Window.partitionBy(*by, value))
-    return df.withColumn("rank", F.rank().over(w) + (same - 1) / 2)
+    """Add rank: the mean rank of equal values within ``by``, from running counts of distinct values; null values have none."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    ranks = running_totals(counts, value, ["__n"], by=by).select(*by, value, (F.col("cum___n") - (F.col("__n") - 1) / 2).alias("rank"))
+    return df.join(ranks, [*by, value], "left")
 
 
 def cliffs_delta(long_: DataFrame, label: str = "label") -> DataFrame:

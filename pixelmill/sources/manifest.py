@@ -167,6 +167,44 @@ def read_features(spark: SparkSession, df: DataFrame, splits: DataFrame, key: st
     return out.withColumn(label, label_code(F.col(label))), features
 
 
+def read_confusion(spark: SparkSession, path: str) -> dict[str, int]:
+    """tn, fp, fn and tp of a CSV with exactly one row of counts that are no less than 0."""
+    df = spark.read.option("header", True).csv(path)
+    counts = ("tn", "fp", "fn", "tp")
+    if not set(counts) <= set(df.columns):
+        raise ValueError("the confusion matrix has an invalid shape")
+    rows = df.select(*(F.trim(c).try_cast("decimal(38,10)").alias(c) for c in counts)).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError("the confusion matrix has an invalid shape")
+    if any(rows[0][c] is None or rows[0][c] % 1 for c in counts):
+        raise ValueError("the confusion matrix has a count that is no integer")
+    if any(rows[0][c] < 0 for c in counts):
+        raise ValueError("the confusion matrix has a negative count")
+    return {c: int(rows[0][c]) for c in counts}
+
+
+# Columns of the ablation table.
+ABLATION_INTEGERS = ("feature_count", "test_zero_division", "test_sample_count", "test_tn", "test_fp", "test_fn", "test_tp")
+ABLATION_NUMBERS = ("threshold", "validation_f1", "test_accuracy", "test_precision", "test_recall", "test_f1")
+
+
+def read_ablation(spark: SparkSession, path: str) -> DataFrame:
+    """The feature-group ablation CSV with typed metrics; raises for repeated groups, unknown states and numbers that aren't finite."""
+    df = spark.read.option("header", True).csv(path)
+    if not {"feature_group", "feature_count", "status"} <= set(df.columns):
+        raise ValueError("the ablation table lacks required columns")
+    if not df.filter("coalesce(feature_group, '') = '' or coalesce(status, '') not in ('completed', 'unavailable')").isEmpty():
+        raise ValueError("the ablation table has an invalid row")
+    if not df.groupBy("feature_group").count().filter("count > 1").isEmpty():
+        raise ValueError("the ablation table repeats a group")
+    numbers = [c for c in (*ABLATION_INTEGERS, *ABLATION_NUMBERS) if c in df.columns]
+    cast = {c: F.col(c).try_cast("double") for c in numbers}
+    wrong = [F.col(c).isNotNull() & (F.trim(c) != "") & ~F.coalesce(F.abs(v) < float("inf"), F.lit(False)) for c, v in cast.items()]
+    if not df.filter(F.exists(F.array(*wrong), lambda x: x)).isEmpty():
+        raise ValueError("the ablation table has a metric that is no finite number")
+    return df.withColumns({c: v.cast("long") if c in ABLATION_INTEGERS else v for c, v in cast.items()})
+
+
 def run_catalog(spark: SparkSession, root: str, model_id: str | None = None) -> DataFrame:
     """Completed runs under root/*/run_manifest.json, the latest first."""
     schema = "run_id string, status string, selected_model_id string, completed_at_utc string"

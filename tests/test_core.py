@@ -586,6 +586,35 @@ def test_extract_gives_every_column_and_failed_rows(spark, tmp_path):
         MF.read_features(spark, wide, wide.select("sample_id", F.lit("train").alias("split")))
 
 
+def test_confusion_and_ablation_scans(spark, tmp_path):
+    def put(name, text):
+        open(f"{tmp_path}/{name}", "w").write(text)
+        return f"file://{tmp_path}/{name}"
+
+    assert MF.read_confusion(spark, put("c.csv", "tn,fp,fn,tp\n5,0,1,7\n")) == {"tn": 5, "fp": 0, "fn": 1, "tp": 7}
+    for text, why in (("tn,fp,fn\n1,2,3\n", "shape"), ("tn,fp,fn,tp\n1,2,3,4\n1,2,3,4\n", "shape"), ("tn,fp,fn,tp\n1,2,x,4\n", "integer"), ("tn,fp,fn,tp\n1,2,1.5,4\n", "integer"), ("tn,fp,fn,tp\n1,-2,3,4\n", "negative")):
+        with pytest.raises(ValueError, match=why):
+            MF.read_confusion(spark, put("c.csv", text))
+    head = "feature_group,feature_count,status,test_f1,test_tp\n"
+    rows = MF.read_ablation(spark, put("a.csv", head + "texture,41,completed,0.96,120\nshape,0,unavailable,,\n")).orderBy("feature_group").collect()
+    assert [(r["feature_group"], r["feature_count"], r["test_f1"], r["test_tp"]) for r in rows] == [("shape", 0, None, None), ("texture", 41, 0.96, 120)]
+    for text, why in (("feature_group,status\na,completed\n", "required"), (head + "a,1,completed,,\na,1,completed,,\n", "repeats"), (head + "a,1,odd,,\n", "invalid"), (head + "a,1,completed,abc,\n", "finite"), (head + "a,1,completed,NaN,\n", "finite")):
+        with pytest.raises(ValueError, match=why):
+            MF.read_ablation(spark, put("a.csv", text))
+
+
+def test_running_totals_and_ranks_by_group(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(rng.integers(0, 3)), float(np.round(rng.normal(), 1)) if rng.random() > 0.05 else None) for _ in range(400)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    got = E.average_ranks(df, "v", ["g"]).collect()
+    assert len(got) == 400
+    for r in got:
+        own = [v for g, v in rows if g == r["g"] and v is not None]
+        want = None if r["v"] is None else sum(v < r["v"] for v in own) + (sum(v == r["v"] for v in own) + 1) / 2
+        assert r["rank"] == want
+
+
 def test_blocked_columns_and_manifest_case(spark):
     wide = spark.createDataFrame([(1, "ai_generated", 1.0)], "sample_id long, label string, ocr_len double")
     with pytest.raises(ValueError, match="not features"):
