@@ -107,3 +107,13 @@ def padded_box(x: Column, y: Column, w: Column, h: Column, width: Column, height
     x0, y0 = F.greatest(F.bround(x - w * share), F.lit(0)), F.greatest(F.bround(y - h * share), F.lit(0))
     x1, y1 = F.least(F.bround(x + w + w * share), width), F.least(F.bround(y + h + h * share), height)
     return F.when((x1 > x0) & (y1 > y0), F.struct(x0.alias("x"), y0.alias("y"), (x1 - x0).alias("w"), (y1 - y0).alias("h")))
+
+
+def normalized_box(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
+    """The box {x, y, w, h} as shares of the image's sides."""
+    return F.struct((x / width).alias("x"), (y / height).alias("y"), (w / width).alias("w"), (h / height).alias("h"))
+
+
+def normalized_polygon(poly: Column, width: Column, height: Column) -> Column:
+    """The points {x, y} as shares of the image's sides."""
+    return F.transform(poly, lambda p: F.struct((p["x"] / width).alias("x"), (p["y"] / height).alias("y")))

@@ -586,6 +586,12 @@ def test_extract_gives_every_column_and_failed_rows(spark, tmp_path):
         MF.read_features(spark, wide, wide.select("sample_id", F.lit("train").alias("split")))
 
 
+def test_normalized_geometry(spark):
+    df = spark.sql("select 10 x, 20 y, 30 w, 5 h, 40 iw, 50 ih, array(named_struct('x', 10.0D, 'y', 25.0D)) p")
+    got = df.select(S.normalized_box(*(F.col(c) for c in ("x", "y", "w", "h", "iw", "ih"))).alias("b"), S.normalized_polygon(F.col("p"), F.col("iw"), F.col("ih")).alias("p")).first()
+    assert tuple(got["b"]) == (0.25, 0.4, 0.75, 0.1) and [tuple(q) for q in got["p"]] == [(0.25, 0.5)]
+
+
 def test_confusion_and_ablation_scans(spark, tmp_path):
     def put(name, text):
         open(f"{tmp_path}/{name}", "w").write(text)
