@@ -44,6 +44,7 @@ CACHE = 6_000_000  # log probabilities that are kept ready; any number gives the
 SURE = 60
 FEW = 30  # documents that are too few for limits of their own
 COLLECT = 2_000_000  # grams that go to the driver at once
+CELLS = 4096
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -212,23 +213,29 @@ def collected(counted: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 
 
 def medians(m: DataFrame, col: str) -> dict[str, tuple[int, float]]:
-    """(rows, exact median of ``col``) of each language: counts of bins first, then the values in the middle ones."""
-    binned = m.withColumn("bin", F.floor(F.log2(F.greatest(F.col(col).cast("double"), F.lit(1e-9))) * 1024))
-    held = binned.groupBy("lang", "bin").agg(F.count("*").alias("k")).toPandas().sort_values(["lang", "bin"])
-    before, want = {}, []
-    for x, own in held.groupby("lang"):
-        k, upto = own["k"].to_numpy(), own["k"].cumsum().to_numpy()
-        at = np.searchsorted(upto, [(upto[-1] - 1) // 2, upto[-1] // 2], side="right")
-        before[x] = int(upto[-1]), int(upto[at[0]] - k[at[0]])
-        want += [(x, int(own["bin"].iloc[i])) for i in sorted(set(at.tolist()))]
-    middle = F.broadcast(m.sparkSession.createDataFrame(want, "lang string, bin long"))
-    values = binned.join(middle, ["lang", "bin"]).groupBy("lang", F.col(col).cast("double").alias("v")).agg(F.count("*").alias("k")).toPandas().sort_values(["lang", "v"])
-    out = {}
-    for x, own in values.groupby("lang"):
-        rows, skipped = before[x]
-        at = np.searchsorted(skipped + own["k"].cumsum().to_numpy(), [(rows - 1) // 2, rows // 2], side="right")
-        out[x] = rows, float(own["v"].to_numpy()[at].mean())
-    return out
+    """(rows, exact median of ``col``) of each language.
+
+    Rows are counted in ``CELLS`` equal cells between the smallest and the largest value, then in the cell that holds
+    the middle row, and so on until one value is left; the driver gets counts of cells only.
+    """
+    v = m.select("lang", F.col(col).cast("double").alias("v"))
+    rows, within = {}, {}
+    for r in v.groupBy("lang").agg(F.count("*").alias("k"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():  # a row for each language
+        rows[r["lang"]] = r["k"]
+        within |= {(r["lang"], at): (at, r["lo"], r["hi"]) for at in {(r["k"] - 1) // 2, r["k"] // 2}}
+    while left := [(x, at, lo, hi) for (x, at), (_, lo, hi) in within.items() if lo < hi]:
+        spans = F.broadcast(m.sparkSession.createDataFrame(left, "lang string, at long, lo double, hi double"))
+        cell = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS)
+        inside = v.join(spans, "lang").filter("v between lo and hi").groupBy("lang", "at", cell.alias("cell"))
+        cells = inside.agg(F.count("*").alias("k"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("cell").collect()
+        skip, found = {key: rank for key, (rank, _, _) in within.items()}, {}
+        for r in cells:
+            key = r["lang"], r["at"]
+            if key not in found and skip[key] < r["k"]:
+                found[key] = skip[key], r["lo"], r["hi"]
+            skip[key] -= r["k"]
+        within |= found
+    return {x: (k, float(np.mean([within[x, at][1] for at in {(k - 1) // 2, k // 2}]))) for x, k in rows.items()}
 
 
 def fit(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> Model:
