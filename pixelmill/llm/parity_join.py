@@ -510,10 +510,12 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     linked = materialize(links_of_documents(docs, id_col=id_col, text_col=text_col, **options), "linked").filter("component_key is not null")
     key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text_hash")
     keyed = linked.select("component_key", F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", key.alias("key")).alias("row"))
-    groups = keyed.groupBy("component_key").agg(F.min("row").alias("first"), F.count("*").alias("m")).filter("m > 1")
-    told = materialize(keyed.join(groups, "component_key").select(F.col("row.key").alias("key"), F.col("first.key").alias("first")), "told")
-    gone = told.filter("key <> first").select(F.col("key").alias("__row"))
-    repeated = materialize(told.filter("key = first").groupBy(F.col("key").alias("__row")).agg(F.count("*").alias("m")).filter("m > 1").select("__row"), "repeated")
+    # joined on the key of a row, not on its component: a group may hold a third of all rows
+    firsts = keyed.groupBy("component_key").agg(F.min("row").alias("first")).select(F.col("first.key").alias("key"), F.lit(True).alias("first"))
+    rows = keyed.groupBy(F.col("row.key").alias("key")).agg(F.count("*").alias("m"))
+    told = materialize(rows.join(firsts, "key", "left").select(F.col("key").alias("__row"), "m", "first"), "told")
+    gone = told.filter("first is null").select("__row")
+    repeated = told.filter("first and m > 1").select("__row")
     row = F.xxhash64(F.col(id_col).cast("long").isNull(), F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")))
     named = docs.withColumn("__row", row)
     kept = drop_ids(named, gone.unionAll(repeated), "__row")
