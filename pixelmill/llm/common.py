@@ -66,6 +66,20 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], count: str, most: int) -> DataFrame:
+    """``big`` with the columns of ``small``, which has one row for each key and in ``count`` that key's rows in ``big``.
+
+    Rows of a key with more than ``most`` are dealt to several tasks, each with its copy of the key's row. Keys are not null;
+    the list of such keys that is sent to the tasks has at most rows of ``big`` / ``most`` entries.
+    """
+    slots = F.ceil(F.col(count) / most).cast("int")
+    hot = small.filter(F.col(count) > most).select(*on, slots.alias("__slots"))
+    dealt = big.withColumn("__row", F.xxhash64(F.monotonically_increasing_id())).join(F.broadcast(hot), on, "left")
+    dealt = dealt.withColumn("__slot", F.pmod("__row", F.coalesce("__slots", F.lit(1))).cast("int")).drop("__row", "__slots")
+    copies = small.withColumn("__slot", F.explode(F.sequence(F.lit(0), slots - 1)))
+    return dealt.join(copies, [*on, "__slot"]).drop("__slot")
+
+
 class Shipped:
     """An object of this package on its way to the tasks, once for each executor."""
 

@@ -24,7 +24,7 @@ compared by 64-bit hashes.
 Keys meet in buckets, whose number follows from the counted sizes of the sets. A key that a sample shows
 to be held by many sets (a third of all, say) is dealt to several slots by member; its slots share
 one head, the smallest member of all, and go on as one segment set. Members are kept in rows of at
-most ``ROW``.
+most ``ROW``. Rows of a large class, and classes of a large component, meet their result in several tasks.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import Shipped, bitmap, connected_components, drop_ids, in_bitmap, materialize, parts, small_batches
+from pixelmill.llm.common import Shipped, bitmap, connected_components, drop_ids, in_bitmap, materialize, parts, small_batches, spread_join
 from pixelmill.llm.shingles import U, mix, set_signature, shingle_sets, slices
 
 SAMPLE = 3000  # documents, about, in which frequent shingles are looked for; any choice of them gives the same links
@@ -51,6 +51,7 @@ HOT = 30  # sets of the sample that hold a key whose members may be dealt to slo
 SLOT = 250_000  # members of a slot, about
 ROW = 100_000  # members in a row
 NEAREST = (1, 8, None)  # partners of a member that a later round takes; the last takes all that are left
+FEWEST = 100  # rows of one key that are never spread
 WHOLE = 8  # sets of so many members are compared pair by pair at once
 
 
@@ -216,7 +217,7 @@ def links_of_documents(
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "n", "s1", "s2", "sketch"])
 
     rows = materialize(hashed.mapInArrow(profile, "doc_id long, text_hash long, n long, s1 long, s2 long, sketch binary"), "profiles")
-    classes = rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    classes = rows.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     buckets = max(parts(spark), -(-most_keys(rows, num, den) // BUCKET_KEYS))
     documents = docs.count()
     every = max(1, documents // SAMPLE)
@@ -490,13 +491,16 @@ def links_of_documents(
         if not more.isEmpty():
             edges = materialize(edges.unionAll(more), "edges")
             comp = connected_components(edges)
-    joined = classes.join(comp.select(F.col("node").alias("s1"), "component"), "s1")
-    tops = joined.groupBy("component").agg(F.min("rep").alias("top"))
-    known = joined.join(tops, "component").select("n", "s1", "s2", "component", "top")
+    share = max(FEWEST, documents // (8 * parts(spark)))  # rows of a class, or classes of a component, that one task may take
+    joined = materialize(classes.join(comp.select(F.col("node").alias("s1"), "component"), "s1"), "joined")
+    tops = joined.groupBy("component").agg(F.min("rep").alias("top"), F.count("*").alias("members"))
+    known = spread_join(joined, tops, ["component"], "members", share).select("n", "s1", "s2", "component", "top")
     known = classes.join(known, ["n", "s1", "s2"], "left").select(
-        "n", "s1", "s2", F.col("rep").alias("class_id"), F.coalesce("component", "s1").alias("component_key"), F.coalesce("top", "rep").alias("top")
+        "n", "s1", "s2", "copies", F.col("rep").alias("class_id"), F.coalesce("component", "s1").alias("component_key"), F.coalesce("top", "rep").alias("top")
     )
-    return rows.drop("sketch").join(known, ["n", "s1", "s2"], "left").select(
+    worded = spread_join(rows.drop("sketch").filter("n > 0"), materialize(known, "known"), ["n", "s1", "s2"], "copies", share)
+    wordless = rows.filter("n = 0").select("doc_id", "text_hash", "n")  # they have no class, and may be many
+    return worded.unionByName(wordless, allowMissingColumns=True).select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("top", "doc_id")).alias("component_id"),
         F.coalesce("class_id", "doc_id").alias("class_id"), "text_hash", "component_key",
     )

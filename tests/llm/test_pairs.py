@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pixelmill.llm import parity_join as PJ
-from pixelmill.llm.common import connected_components, drop_ids
+from pixelmill.llm.common import connected_components, drop_ids, spread_join
 from pixelmill.llm.embedding_dedup import bucket_codes, hadamard, links_of_vectors
 from pixelmill.llm.shingles import shingle_sets
 
@@ -246,3 +246,18 @@ def test_shingles_of_slices():
 def test_entry_columns(spark):
     d = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
     assert PJ.links_of_documents(d.withColumn("s1", F.lit(1)).withColumn("component", F.lit(2))).collect()[0]["component_id"] == 1
+
+
+def test_rows_of_a_large_class_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(PJ, "FEWEST", 3)
+    small = spark.createDataFrame([(1, 40, "one"), (2, 2, "two"), (3, 1, "three")], "k long, copies long, name string")
+    big = spark.createDataFrame([(k, i) for k, n in ((1, 40), (2, 2), (3, 1)) for i in range(n)], "k long, i long")
+    got = spread_join(big, small, ["k"], "copies", 3)
+    assert got.columns == ["k", "i", "copies", "name"]
+    assert sorted((r["k"], r["i"], r["name"]) for r in got.collect()) == sorted((k, i, t) for k, n, t in ((1, 40, "one"), (2, 2, "two"), (3, 1, "three")) for i in range(n))
+    words = [f"w{i}" for i in range(60)]
+    near = [" ".join([*words[:i], f"x{i}", *words[i + 1 :]]) for i in (0, 59)] * 20
+    rows = [(i, t) for i, t in enumerate([*near, *[" ".join(words)] * 40, *[None] * 40, "alone in here with six words"])]
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in PJ.links_of_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(out) == len(rows)
+    assert all(out[i] == (56, 0) for i in range(80)) and all(out[i] == (0, i) for i in range(80, 120)) and out[120] == (2, 120)
