@@ -271,7 +271,7 @@ def padded_crop(box: tuple[int, int, int, int], height: int, width: int, ratio:
 def extract(images: DataFrame, detector, groups: list[str] | None = None, pad: float = 0.05) -> DataFrame:
     """Long features of every detected region of raw images (sample_id, height, width, rgb binary).
 
-    ``detector(gray)`` gives polygons. A region has a row of status region with its box, then one for each
+    ``detector(gray)`` gives polygons; without one they are taken from the column ``polygons``. A region has a row of status region with its box, then one for each
     feature. An image without pixels, or one that fails, is a row of status failed with its reason, never an exception.
     """
     registry = region_registry(groups)
@@ -279,14 +279,15 @@ def extract(images: DataFrame, detector, groups: list[str] | None = None, pad: f
     def run(batches):
         for b in batches:
             out = _Batch()
-            for s, h, w, raw in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            given = [None] * len(b) if detector else b.column(4).to_pylist()
+            for s, h, w, raw, polygons in zip(*(b.column(i).to_pylist() for i in range(4)), given, strict=True):
                 if raw is None:
                     out.add(sample_id=s, status="failed", reason="image cannot be decoded")
                     continue
                 try:
                     found = []
                     gray = K.gray_fixed(np.frombuffer(raw, np.uint8).reshape(h, w, 3))
-                    boxes = sorted(localize(detector(gray), h, w)[0], key=lambda r: (r["y"], r["x"], r["h"], r["w"]))
+                    boxes = sorted(localize(detector(gray) if detector else polygons or [], h, w)[0], key=lambda r: (r["y"], r["x"], r["h"], r["w"]))
                     for r in boxes:
                         x, y, bw, bh = box = r["x"], r["y"], r["w"], r["h"]
                         x0, y0, x1, y1 = padded_crop(box, h, w, pad)
@@ -298,7 +299,7 @@ def extract(images: DataFrame, detector, groups: list[str] | None = None, pad: f
                     out.add(sample_id=s, status="failed", reason=str(e)[:200])
             yield out.arrow()
 
-    return images.select("sample_id", "height", "width", "rgb").mapInArrow(run, LONG)
+    return images.select("sample_id", "height", "width", "rgb", *([] if detector else ["polygons"])).mapInArrow(run, LONG)
 
 
 def localize(polygons: list, height: int, width: int, least: int = 3) -> tuple[list[dict], list[str]]:

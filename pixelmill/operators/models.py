@@ -210,7 +210,7 @@ def ablation(train: DataFrame, validation: DataFrame, test: DataFrame, label: st
 
 
 def permutation_linear(df: DataFrame, key: str, label: str, coefficients: dict[str, float], intercept: float, threshold: float, repeats: int = 20, seed: int = 42) -> DataFrame:
-    """Per feature: mean and spread of the F1 drop, and mean |score change|, when its values are permuted.
+    """Per feature: mean and spread of the drops of F1 and accuracy, and mean |score change|, when its values are permuted.
 
     A linear margin changes by coefficient * (permuted - own), so rows are not scored again. Values
     are dealt by hashed order within each (feature, repeat): rows and values are ranked by two
@@ -235,8 +235,51 @@ def permutation_linear(df: DataFrame, key: str, label: str, coefficients: dict[s
         tp, fp, fn = (F.count_if((F.col("label") == y) & (F.col(p) == q)) for y, q in ((1, 1), (0, 1), (1, 0)))
         return F.coalesce(F.try_divide((2 * tp).cast("double"), (2 * tp + fp + fn).cast("double")), F.lit(0.0))
 
-    per = m.groupBy("feature", "rep").agg((f1("p0") - f1("p1")).alias("drop"), F.avg(F.abs(sigmoid(F.col("moved")) - sigmoid(F.col("margin")))).alias("change"))
-    return per.groupBy("feature").agg(F.avg("drop").alias("f1_drop_mean"), F.stddev_pop("drop").alias("f1_drop_std"), F.avg("change").alias("mean_abs_score_change"))
+    def right(p: str):
+        return F.avg((F.col(p) == F.col("label")).cast("double"))
+
+    per = m.groupBy("feature", "rep").agg(
+        (f1("p0") - f1("p1")).alias("drop"), (right("p0") - right("p1")).alias("fewer"), F.avg(F.abs(sigmoid(F.col("moved")) - sigmoid(F.col("margin")))).alias("change")
+    )
+    return per.groupBy("feature").agg(
+        F.avg("drop").alias("f1_drop_mean"), F.stddev_pop("drop").alias("f1_drop_std"), F.avg("fewer").alias("accuracy_drop_mean"), F.stddev_pop("fewer").alias("accuracy_drop_std"),
+        F.avg("change").alias("mean_abs_score_change"),
+    )
+
+
+def permutation_any(model: FittedModel, df: DataFrame, key: str, label: str, repeats: int = 20, seed: int = 42, strata: int = 64) -> list[dict]:
+    """The figures of ``permutation_linear`` for a model of any family: rows are scored again, all repeats of a feature in one pass.
+
+    Values change places inside ``strata`` hashed parts of the rows, so no task holds a whole column.
+    """
+    from pyspark.sql import Window
+
+    # rows are named once, then matched by rank in their part
+    named = df.select(F.col(key).alias("__id"), F.col(label).alias("__y"), *(F.col(f"`{c}`").cast("double").alias(c) for c in model.features))
+    base = model.score(named).withColumnRenamed("model_score", "__own")
+    parts = base.withColumn("__rep", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("__s", F.pmod(F.xxhash64("__id", F.lit(seed)), F.lit(strata)))
+    out = []
+    for n, f in enumerate(model.features):
+
+        def rank(salt: int, n: int = n):
+            return F.row_number().over(Window.partitionBy("__rep", "__s").orderBy(F.xxhash64("__id", "__rep", F.lit(seed + 2 * n + salt)), "__id"))
+
+        other = parts.select("__rep", "__s", F.col(f"`{f}`").alias("__v"), rank(1).alias("__k"))
+        moved = parts.withColumn("__k", rank(0)).join(other, ["__rep", "__s", "__k"]).withColumn(f, F.col("__v"))
+        scored = model.score(moved.select("__id", "__y", "__rep", "__own", *(F.col(f"`{c}`") for c in model.features)))
+        cells = []
+        for c, name in (("__own", "own"), ("model_score", "new")):
+            hit = F.col(c) >= model.threshold
+            tp, fp, fn = (F.count_if((F.col("__y") == y) & (hit == q)) for y, q in ((1, True), (0, True), (1, False)))
+            cells += [F.coalesce(F.try_divide((2 * tp).cast("double"), (2 * tp + fp + fn).cast("double")), F.lit(0.0)).alias(f"f1_{name}"), F.avg((hit.cast("int") == F.col("__y")).cast("double")).alias(f"acc_{name}")]
+        per = scored.groupBy("__rep").agg(*cells, F.avg(F.abs(F.col("model_score") - F.col("__own"))).alias("change"))
+        f1, acc = F.col("f1_own") - F.col("f1_new"), F.col("acc_own") - F.col("acc_new")
+        row = per.agg(
+            F.avg(f1).alias("f1_drop_mean"), F.stddev_pop(f1).alias("f1_drop_std"), F.avg(acc).alias("accuracy_drop_mean"), F.stddev_pop(acc).alias("accuracy_drop_std"),
+            F.avg("change").alias("mean_abs_score_change"),
+        ).first()
+        out.append({"feature": f} | row.asDict())
+    return out
 
 
 def explain(model: FittedModel, df: DataFrame, key: str) -> DataFrame:
@@ -299,4 +342,4 @@ def load_package(folder: str, expected_features: list[str] | None = None) -> Fit
     return out
 
 
-__all__ = ["Candidate", "FittedModel", "MedianImputer", "Standardizer", "ablation", "candidate", "candidate_grid", "evaluate", "explain", "load_package", "permutation_linear", "save_package", "score_with", "select_model"]
+__all__ = ["Candidate", "FittedModel", "MedianImputer", "Standardizer", "ablation", "candidate", "candidate_grid", "evaluate", "explain", "load_package", "permutation_any", "permutation_linear", "save_package", "score_with", "select_model"]
