@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelmill.functions.kernels import detect_dark
-from pixelmill.operators import dedup, features, models, regions, splits
+from pixelmill.operators import dedup, features, gates, models, regions, splits
 from pixelmill.sources import images, manifest, prepare, sinks
 
 DEFAULTS = {"seed": 42, "width": 1024, "height": 1536, "near_distance": 4, "groups": features.GROUPS, "candidates": "full"}
@@ -88,7 +88,7 @@ def cmd_train(spark: SparkSession, a: argparse.Namespace, config: dict) -> dict:
     grid = grid if config["candidates"] == "full" else [c for c in grid if c.family == config["candidates"]]
     model, rows = models.select_model(data.filter("split = 'train'"), data.filter("split = 'validation'"), "label", grid)
     os.makedirs(a.out, exist_ok=True)
-    models.save_package(model, f"{a.out}/package")
+    models.save_package(model, f"{a.out}/package", gates.package_hashes(config))
     sinks.write_json(f"{a.out}/comparison.json", rows)
     return {"selected": model.family, "threshold": model.threshold}
 
@@ -100,14 +100,22 @@ def cmd_evaluate(spark: SparkSession, a: argparse.Namespace, config: dict) -> di
 
 
 def cmd_predict(spark: SparkSession, a: argparse.Namespace, config: dict) -> dict:
-    """Score one PNG file."""
+    """Score and explain one PNG file with a package that was trained with the same settings."""
     model = models.load_package(f"{a.model}/package")
+    with open(f"{a.model}/package/package.json") as f:
+        gates.check_package(json.load(f), config, features.model_columns(config["groups"]))
     with open(a.image, "rb") as f:
         content = f.read()
     files = spark.createDataFrame([(0, bytearray(content))], "sample_id long, content binary")
     long_ = features.extract(images.rasters(files), detect_dark, config["groups"])
-    row = model.score(wide_features(long_, files.select("sample_id"), config["groups"])).first()
-    return {"score": row["model_score"], "label": "ai_generated" if row["model_score"] >= model.threshold else "non_ai_generated"}
+    wide = wide_features(long_, files.select("sample_id"), config["groups"])
+    failed = wide.filter("processing_status = 'failed'").first()
+    if failed:
+        raise ValueError(f"image cannot be measured: {failed['processing_error']}")
+    row = models.local_explanation(model, wide, "sample_id").first().asDict(recursive=True)
+    score = row.pop("model_score")
+    label = "ai_generated" if score >= model.threshold else "non_ai_generated"
+    return {"score": score, "label": label, "threshold": model.threshold, "explanation": {k: v for k, v in row.items() if k != "sample_id"}}
 
 
 COMMANDS = {

@@ -299,6 +299,45 @@ def explain(model: FittedModel, df: DataFrame, key: str) -> DataFrame:
     return out.select(key, F.inline(F.array(*cells)))
 
 
+def local_explanation(model: FittedModel, df: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """(key, status, model_score, intercept, total, positive, negative, rest): the n largest contributions of either sign.
+
+    A feature's value and indicator count together; ``rest`` is the sum of the others. Status is available only if intercept
+    and contributions give the model's score again (margins within 1e-9, probabilities within 1e-8), else unavailable;
+    models that aren't linear have global_only and nulls. Every row is judged by itself, nothing is shuffled.
+    """
+    scored = model.score(df)
+    part = "array<struct<feature: string, contribution: double>>"
+    kinds = {"intercept": "double", "total": "double", "positive": part, "negative": part, "rest": "double"}
+    if model.family not in ("lr", "svm_linear"):
+        return scored.select(key, F.lit("global_only").alias("status"), "model_score", *(F.lit(None).cast(t).alias(c) for c, t in kinds.items()))
+    names = [*model.features, *model.imputer.indicators]
+    weights = dict(zip(names, model.model.coefficients.toArray().tolist(), strict=True))
+    out = model.scaler.transform(model.imputer.transform(scored))
+
+    def share(f: str):
+        return sum((F.col(f"`{c}`") * weights[c] for c in (f, f"missing_{f}") if c in weights), F.lit(0.0))
+
+    def total(a):
+        return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x["contribution"])
+
+    def largest(sign: int):
+        mine = F.filter("__cells", lambda x: x["contribution"] * sign > 0)
+        ranked = F.array_sort(F.transform(mine, lambda x: F.struct((x["contribution"] * -sign).alias("down"), x["feature"].alias("feature"))))
+        return F.slice(F.transform(ranked, lambda x: F.struct(x["feature"].alias("feature"), (x["down"] * -sign).alias("contribution"))), 1, n)
+
+    cells = F.array(*(F.struct(F.lit(f).alias("feature"), share(f).alias("contribution")) for f in model.features))
+    out = out.select(key, "model_score", F.lit(float(model.model.intercept)).alias("intercept"), cells.alias("__cells"))
+    out = out.withColumns({"total": total(F.col("__cells")), "positive": largest(1), "negative": largest(-1)})
+    margin = F.col("intercept") + F.col("total")
+    again, room = (margin, 1e-9) if model.family == "svm_linear" else (sigmoid(margin), 1e-8)
+    gap = F.abs(again - F.col("model_score"))
+    within = gap <= room * F.greatest(F.lit(1.0), F.abs("model_score"))
+    status = F.when(within & ~F.isnan(gap), "available").otherwise("unavailable")
+    rest = F.col("total") - total(F.col("positive")) - total(F.col("negative"))
+    return out.select(key, status.alias("status"), "model_score", "intercept", "total", "positive", "negative", rest.alias("rest"))
+
+
 def file_hashes(folder: str) -> dict[str, str]:
     out = {}
     for top, _, files in sorted(os.walk(folder)):
@@ -317,7 +356,7 @@ def save_package(model: FittedModel, folder: str, extra: dict | None = None) ->
         "family": model.family, "params": model.params, "features": model.features, "medians": model.imputer.medians, "missing": model.imputer.missing,
         "moments": model.scaler.moments, "fourier": model.fourier, "threshold": model.threshold, "label_mapping": {"non_ai_generated": 0, "ai_generated": 1},
     }
-    manifest = {"state": state, "files": file_hashes(folder)} | (extra or {})
+    manifest = (extra or {}) | {"state": state, "files": file_hashes(folder)}
     with open(f"{folder}/package.json", "w") as f:
         json.dump(manifest, f, sort_keys=True, allow_nan=False)
     return manifest
@@ -342,4 +381,4 @@ def load_package(folder: str, expected_features: list[str] | None = None) -> Fit
     return out
 
 
-__all__ = ["Candidate", "FittedModel", "MedianImputer", "Standardizer", "ablation", "candidate", "candidate_grid", "evaluate", "explain", "load_package", "permutation_any", "permutation_linear", "save_package", "score_with", "select_model"]
+__all__ = ["Candidate", "FittedModel", "MedianImputer", "Standardizer", "ablation", "candidate", "candidate_grid", "evaluate", "explain", "load_package", "local_explanation", "permutation_any", "permutation_linear", "save_package", "score_with", "select_model"]

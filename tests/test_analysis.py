@@ -22,7 +22,7 @@ def rows(spark):
     for i in range(90):
         y = i % 2
         s = y * 2 + rng.normal(0, 0.4)
-        out.append((f"s{i}", y, "train" if i < 60 else "test", float(s), float(s * 2), None if i % 8 == 0 else float(rng.normal())))
+        out.append((f"s{i}", y, "train" if i < 60 else "test", float(s), float(s * 2 + rng.normal(0, 0.1)), None if i % 8 == 0 else float(rng.normal())))
     return spark.createDataFrame(out, "sample_id string, label int, split string, `geometry.signal` double, `texture.correlated` double, noise double").cache()
 
 
@@ -107,3 +107,26 @@ def test_analysis_files(spark, rows, tmp_path):
     assert len(paths) == 4 and json.load(open(paths[0]))["feature_redundancy"][0]["group_b"] == "texture"
     assert "texture: test F1 0.7000, against all -0.2000" in analysis.text(report) and "- x" not in analysis.text(report)
     assert analysis.study_wording({"Fixture"})[0] != analysis.study_wording({"fixture", "camera"})[0] == analysis.study_wording(set())[0]
+
+
+@pytest.mark.parametrize("family", ["lr", "svm_linear", "rf"])
+def test_local_explanation(rows, family):
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    params = {"trees": 5, "depth": 3, "leaf": 1} if family == "rf" else {"C": 1.0}
+    model = M.candidate(family, params, NAMES).fit(train, "label")
+    out = M.local_explanation(model, test, "sample_id", 1).collect()
+    assert len(out) == test.count()
+    if family == "rf":
+        assert all(r["status"] == "global_only" and r["total"] is None and 0 <= r["model_score"] <= 1 for r in out)
+        return
+    parts = {}
+    for r in M.explain(model, test, "sample_id").collect():
+        own = parts.setdefault(r["sample_id"], dict.fromkeys(NAMES, 0.0))
+        own[r["feature"]] += r["contribution"]
+    for r in out:
+        own = parts[r["sample_id"]]
+        assert r["status"] == "available" and r["total"] == pytest.approx(sum(own.values()))
+        up = sorted(((v, f) for f, v in own.items() if v > 0), key=lambda x: (-x[0], x[1]))[:1]
+        down = sorted((v, f) for f, v in own.items() if v < 0)[:1]
+        assert [x["feature"] for x in r["positive"]] == [f for _, f in up] and [x["feature"] for x in r["negative"]] == [f for _, f in down]
+        assert r["rest"] == pytest.approx(sum(own.values()) - sum(v for v, _ in up + down), abs=1e-12)
