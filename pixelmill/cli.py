@@ -102,8 +102,7 @@ def cmd_evaluate(spark: SparkSession, a: argparse.Namespace, config: dict) -> di
 def cmd_predict(spark: SparkSession, a: argparse.Namespace, config: dict) -> dict:
     """Score and explain one PNG file with a package that was trained with the same settings."""
     model = models.load_package(f"{a.model}/package")
-    with open(f"{a.model}/package/package.json") as f:
-        gates.check_package(json.load(f), config, features.model_columns(config["groups"]))
+    gates.check_package(models.read_manifest(f"{a.model}/package"), config, features.model_columns(config["groups"]))
     with open(a.image, "rb") as f:
         content = f.read()
     files = spark.createDataFrame([(0, bytearray(content))], "sample_id long, content binary")

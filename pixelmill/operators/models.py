@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
 from concurrent.futures import ThreadPoolExecutor
@@ -11,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelmill.functions.scalars import sigmoid
@@ -338,27 +337,59 @@ def local_explanation(model: FittedModel, df: DataFrame, key: str, n: int = 5) -
     return out.select(key, status.alias("status"), "model_score", "intercept", "total", "positive", "negative", rest.alias("rest"))
 
 
+def _store(folder: str) -> tuple:
+    """(session, URI, file system, path maker) of a folder; one without a scheme is on this machine."""
+    spark = SparkSession.active()
+    uri = folder.rstrip("/") if "://" in folder else "file://" + os.path.abspath(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return spark, uri, path(uri).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def file_hashes(folder: str) -> dict[str, str]:
-    out = {}
-    for top, _, files in sorted(os.walk(folder)):
-        for f in sorted(files):
-            p = os.path.join(top, f)
-            if f != "package.json" and not f.endswith(".crc"):
-                with open(p, "rb") as h:
-                    out[os.path.relpath(p, folder)] = hashlib.sha256(h.read()).hexdigest()
+    """SHA-256 of every file of the package's model by its relative name, read through the file system of its URI."""
+    spark, uri, fs, path = _store(folder)
+    root, out = fs.makeQualified(path(uri)).toUri().getPath() + "/", {}
+    files = fs.listFiles(path(uri + "/model"), True)
+    fs.setVerifyChecksum(False)  # a changed file is to differ from its hash, not to fail
+    try:
+        while files.hasNext():
+            at = files.next().getPath()
+            name = at.toUri().getPath().removeprefix(root)
+            if not name.endswith(".crc"):
+                stream = fs.open(at)
+                out[name] = spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+                stream.close()
+    finally:
+        fs.setVerifyChecksum(True)
     return out
 
 
+def read_manifest(folder: str) -> dict:
+    spark, uri, fs, path = _store(folder)
+    stream = fs.open(path(uri + "/package.json"))
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
 def save_package(model: FittedModel, folder: str, extra: dict | None = None) -> dict:
-    """Write the fitted model, its preprocessing and a manifest with the hash of every file (a driver-side package)."""
-    model.model.write().overwrite().save(f"file://{os.path.abspath(folder)}/model")
+    """Write the fitted model, its preprocessing and a manifest with the hash of every file to a folder or URI.
+
+    Executors write the model, so on a cluster ``folder`` has to name a shared place (a URI).
+    """
+    spark, uri, fs, path = _store(folder)
+    if uri.startswith("file:") and not spark.sparkContext.master.startswith("local") and "://" not in folder:
+        raise ValueError("on a cluster a package needs the URI of a shared folder")
+    model.model.write().overwrite().save(f"{uri}/model")
     state = {
         "family": model.family, "params": model.params, "features": model.features, "medians": model.imputer.medians, "missing": model.imputer.missing,
         "moments": model.scaler.moments, "fourier": model.fourier, "threshold": model.threshold, "label_mapping": {"non_ai_generated": 0, "ai_generated": 1},
     }
     manifest = (extra or {}) | {"state": state, "files": file_hashes(folder)}
-    with open(f"{folder}/package.json", "w") as f:
-        json.dump(manifest, f, sort_keys=True, allow_nan=False)
+    stream = fs.create(path(uri + "/package.json"), True)
+    stream.write(json.dumps(manifest, sort_keys=True, allow_nan=False).encode())
+    stream.close()
     return manifest
 
 
@@ -366,8 +397,7 @@ def load_package(folder: str, expected_features: list[str] | None = None) -> Fit
     """Read a package; a changed file or another feature schema is an error."""
     from pyspark.ml.classification import LinearSVCModel, LogisticRegressionModel, RandomForestClassificationModel
 
-    with open(f"{folder}/package.json") as f:
-        manifest = json.load(f)
+    manifest = read_manifest(folder)
     if manifest["files"] != file_hashes(folder):
         raise ValueError("package files do not match their hashes")
     s = manifest["state"]
@@ -376,9 +406,9 @@ def load_package(folder: str, expected_features: list[str] | None = None) -> Fit
     kind = {"lr": LogisticRegressionModel, "rf": RandomForestClassificationModel}.get(s["family"], LinearSVCModel)
     imputer = MedianImputer(s["features"], s["medians"], s["missing"])
     scaler = Standardizer(list(s["moments"]), {k: tuple(v) for k, v in s["moments"].items()})
-    out = FittedModel(s["family"], s["params"], s["features"], imputer, scaler, kind.load(f"file://{os.path.abspath(folder)}/model"), threshold=s["threshold"])
+    out = FittedModel(s["family"], s["params"], s["features"], imputer, scaler, kind.load(_store(folder)[1] + "/model"), threshold=s["threshold"])
     out.fourier = tuple(s["fourier"]) if s["fourier"] else None
     return out
 
 
-__all__ = ["Candidate", "FittedModel", "MedianImputer", "Standardizer", "ablation", "candidate", "candidate_grid", "evaluate", "explain", "load_package", "local_explanation", "permutation_any", "permutation_linear", "save_package", "score_with", "select_model"]
+__all__ = ["Candidate", "FittedModel", "MedianImputer", "Standardizer", "ablation", "candidate", "candidate_grid", "evaluate", "explain", "load_package", "local_explanation", "permutation_any", "permutation_linear", "read_manifest", "save_package", "score_with", "select_model"]
