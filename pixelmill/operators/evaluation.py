@@ -59,6 +59,24 @@ def running_totals(df: DataFrame, key: str, values: list[str], descending: bool
     return out.withColumns({f"cum_{v}": F.col(f"cum_{v}") + F.col(f"__b_{v}") for v in values}).drop("__part", *(f"__b_{v}" for v in values))
 
 
+def quantiles(df: DataFrame, value: str, by: list[str], shares: list[float]) -> DataFrame:
+    """(by, q0, q1, ...): exact quantiles with linear interpolation; nulls don't count, groups without values have no row.
+
+    Distinct values are counted and their running totals taken range by range, so no task holds a group's values.
+    Groups (null keys are one) have to be few: a row of each is broadcast.
+    """
+    group = F.struct(*by) if by else F.struct(F.lit(0))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(group.alias("__g"), F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("k"))
+    totals = counts.groupBy("__g").agg(F.sum("k").alias("n"))
+    c = running_totals(counts, "__v", ["k"], by=["__g"]).join(F.broadcast(totals), "__g")
+    at = [(F.col("n") - 1) * p for p in shares]
+    first = lambda i: F.min(F.when(F.col("cum_k") > i, F.col("__v")))
+    ends = [e for i, a in enumerate(at) for e in (first(F.floor(a)).alias(f"lo{i}"), first(F.ceil(a)).alias(f"hi{i}"))]
+    out = c.groupBy("__g", "n").agg(*ends)
+    between = [(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (a - F.floor(a))).alias(f"q{i}") for i, a in enumerate(at)]
+    return out.select(*(F.col(f"__g.{b}").alias(b) for b in by), *between)
+
+
 def best_threshold(df: DataFrame, label: str, score: str, default: float) -> DataFrame:
     """The threshold of the greatest F1, then precision, then nearness to the default, then value."""
     sweep = threshold_sweep(df, label, score, default)

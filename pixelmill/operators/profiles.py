@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelmill.operators.evaluation import quantiles
+
 
 def cross_table(df: DataFrame, label: str, dims: list[str]) -> DataFrame:
     """(dimension, value, label, n) for several dimensions in one grouping-sets pass."""
@@ -38,7 +40,7 @@ def flag_histogram(df: DataFrame, flags: str) -> DataFrame:
 
 def terciles(df: DataFrame, value: str, by: str) -> DataFrame:
     """(by, bucket, n): low, medium, high by exact thirds over all rows; nulls are unavailable."""
-    q = df.agg(F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q")).first()["q"] or [None, None]
+    q = quantiles(df, value, [], [1 / 3, 2 / 3]).first() or [None, None]
     v = F.col(value)
     bucket = F.when(v.isNull(), "unavailable").when(v <= F.lit(q[0]), "low").when(v <= F.lit(q[1]), "medium").otherwise("high")
     return df.select(F.col(by), bucket.alias("bucket")).groupBy(by, "bucket").agg(F.count("*").alias("n"))
@@ -46,11 +48,14 @@ def terciles(df: DataFrame, value: str, by: str) -> DataFrame:
 
 def class_summary(df: DataFrame, label: str, features: list[str]) -> DataFrame:
     """(label, feature): count, least, greatest, mean, median, IQR, missing rate."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return unpivot(df, [label], features).groupBy(label, "feature").agg(
+    long_ = unpivot(df, [label], features)
+    q = quantiles(long_, "value", [label, "feature"], [0.25, 0.5, 0.75]).select(F.col(label).alias("__l"), F.col("feature").alias("__f"), "q0", "q1", "q2")
+    per = long_.groupBy(label, "feature").agg(
         F.count("value").alias("n"), F.min("value").alias("least"), F.max("value").alias("greatest"), F.avg("value").alias("mean"),
-        q[1].alias("median"), (q[2] - q[0]).alias("iqr"), F.avg(F.col("value").isNull().cast("int")).alias("missing_rate"),
+        F.avg(F.col("value").isNull().cast("int")).alias("missing_rate"),
     )
+    out = per.join(q, F.col(label).eqNullSafe(F.col("__l")) & (F.col("feature") == F.col("__f")), "left")
+    return out.select(label, "feature", "n", "least", "greatest", "mean", F.col("q1").alias("median"), (F.col("q2") - F.col("q0")).alias("iqr"), "missing_rate")
 
 
 def class_separation(df: DataFrame, label: str, dims: list[str]) -> DataFrame:

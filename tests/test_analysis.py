@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelmill.operators import features, gates
+from pixelmill.operators import evaluation, features, gates
 from pixelmill.operators import models as M
 from pixelmill.sources import analysis, geometry
 
@@ -130,3 +130,16 @@ def test_local_explanation(rows, family):
         down = sorted((v, f) for f, v in own.items() if v < 0)[:1]
         assert [x["feature"] for x in r["positive"]] == [f for _, f in up] and [x["feature"] for x in r["negative"]] == [f for _, f in down]
         assert r["rest"] == pytest.approx(sum(own.values()) - sum(v for v, _ in up + down), abs=1e-12)
+
+
+def test_quantiles_against_percentile(spark):
+    rng = np.random.default_rng(3)
+    data = [(None if i % 3 == 0 else i % 3, None if i % 11 == 0 else float(rng.integers(0, 40)) if i % 2 else float(rng.normal())) for i in range(600)] + [(7, None), (8, 1.5)]
+    df = spark.createDataFrame(data, "g int, v double")
+    shares = [0.0, 0.25, 1 / 3, 0.5, 0.9, 1.0]
+    got = {r[0]: r[1:] for r in evaluation.quantiles(df, "v", ["g"], shares).collect()}
+    assert set(got) == {None, 1, 2, 8}
+    for g, q in got.items():
+        assert q == pytest.approx(np.percentile([v for k, v in data if k == g and v is not None], [100 * p for p in shares]))
+    assert evaluation.quantiles(df, "v", [], [0.5]).first()[0] == pytest.approx(np.median([v for _, v in data if v is not None]))
+    assert evaluation.quantiles(df.filter("false"), "v", [], [0.5]).first() is None
