@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+RANGES = 100_000  # ranges of all pairs of columns together: their cuts and totals are broadcast
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -88,10 +90,10 @@ def best_threshold(df: DataFrame, label: str, score: str, default: float) -> Dat
     )
 
 
-def average_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, by: list[str], ranges: int | None = None) -> DataFrame:
     """Add rank: the mean rank of equal values within ``by``, from running counts of distinct values; null values have none."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    ranks = running_totals(counts, value, ["__n"], by=by).select(*by, value, (F.col("cum___n") - (F.col("__n") - 1) / 2).alias("rank"))
+    ranks = running_totals(counts, value, ["__n"], ranges=ranges, by=by).select(*by, value, (F.col("cum___n") - (F.col("__n") - 1) / 2).alias("rank"))
     return df.join(ranks, [*by, value], "left")
 
 
@@ -112,10 +114,9 @@ def spearman_pairs(df: DataFrame, features: list[str], least: float = 0.9, id_co
     cells = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}`").cast("double").alias("x"), F.col(f"`{b}`").cast("double").alias("y")) for a, b in pairs))
     long_ = df.select(F.inline(cells)).filter("x is not null and y is not null")
 
-    def ranked(v: str) -> Column:
-        return F.rank().over(Window.partitionBy("a", "b").orderBy(v)) + (F.count("*").over(Window.partitionBy("a", "b", v)) - 1) / 2
-
-    r = long_.select("a", "b", ranked("x").alias("rx"), ranked("y").alias("ry"))
+    ranges = max(2, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), RANGES // max(1, len(pairs))))
+    rx = average_ranks(long_, "x", ["a", "b"], ranges).withColumnRenamed("rank", "rx")
+    r = average_ranks(rx, "y", ["a", "b"], ranges).withColumnRenamed("rank", "ry")
     out = r.groupBy("a", "b").agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
     return out.filter((F.col("n") >= 2) & (F.abs("rho") >= least))
 
