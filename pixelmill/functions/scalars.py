@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pixelmill.functions.hamming import average_hashes
+
 # Label aliases of both label vocabularies and their codes.
 PROTOTYPE_LABELS = {"real": "non_ai_generated", "non-ai-generated": "non_ai_generated", "ai-generated": "ai_generated", "non_ai_generated": "non_ai_generated", "ai_generated": "ai_generated"}
 PILOT_LABELS = {"REAL": "REAL", "AI": "AI_GENERATED", "FAKE": "AI_GENERATED", "AI_GENERATED": "AI_GENERATED", "AI-GENERATED": "AI_GENERATED"}
@@ -82,9 +86,19 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def average_hash(pixels: Column) -> Column:
-    """64 bits of 64 values: value >= mean, the first value highest."""
-    mean = F.aggregate(pixels, F.lit(0.0), lambda s, v: s + v.cast("double")) / F.size(pixels)
-    return F.aggregate(pixels, F.lit(0).cast("long"), lambda h, v: F.shiftleft(h, 1).bitwiseOR(F.when(v.cast("double") >= mean, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))))
+    """64 bits of 64 values: value >= mean, the first value highest; null for no values."""
+    return F.arrow_udf(_average_hash, "long")(pixels)
+
+
+def _average_hash(pixels: pa.Array) -> pa.Array:
+    out, sizes = np.zeros(len(pixels), np.int64), pixels.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat, ends = pixels.flatten(), np.cumsum(sizes)
+    known, values = flat.is_valid().to_numpy(zero_copy_only=False), flat.cast(pa.float64()).fill_null(0).to_numpy(zero_copy_only=False)
+    for n in np.unique(sizes[sizes > 0]).tolist():
+        own = np.flatnonzero(sizes == n)
+        at = (ends[own] - n)[:, None] + np.arange(n)
+        out[own] = average_hashes(values[at], known[at])
+    return pa.array(out, mask=sizes == 0)
 
 
 def polygon_box(poly: Column) -> Column:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelmill.functions.scalars import hamming
+from pixelmill.functions.hamming import close_rows
+
+LEAST_BLOCK, MOST_BLOCK = 8192, 262_144  # rows of a block: fewer aren't worth a task, more don't fit it
 
 
 def duplicate_groups(df: DataFrame, key: str, id_col: str) -> DataFrame:
@@ -30,20 +34,35 @@ def mark_duplicates(df: DataFrame, key: str, label: str, order: list[str]) -> Da
 def near_pairs(df: DataFrame, id_col: str, hash_col: str, distance: int) -> DataFrame:
     """Pairs (a, b, distance) with a < b whose 64-bit hashes differ in at most ``distance`` bits.
 
-    Pigeonhole: of distance + 1 bands one is equal, so an equi-join on (band, bits) finds every pair.
-    Rows with equal hashes meet once, as members of their hash.
+    Rows are dealt to blocks by their hash and id, so that copies spread; each pair of blocks is a task's, which searches it
+    exactly (``functions/hamming.py``). The number of blocks follows the rows; it changes no result.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(hash_col).alias("h")).filter("id is not null and h is not null")
-    bands = distance + 1
-    cuts = [64 * i // bands for i in range(bands + 1)]
-    piece = [F.shiftrightunsigned("h", cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1 if cuts[i + 1] - cuts[i] < 64 else -1)) for i in range(bands)]
-    hashes = rows.select("h").distinct().withColumn("piece", F.explode(F.array(*(F.struct(F.lit(i).alias("band"), p.alias("bits")) for i, p in enumerate(piece)))))
-    hashes = hashes.select("h", "piece.band", "piece.bits")
-    a, b = hashes.withColumnRenamed("h", "ha"), hashes.withColumnRenamed("h", "hb")
-    met = a.join(b, ["band", "bits"]).filter("ha <= hb").filter(hamming(F.col("ha"), F.col("hb")) <= distance).select("ha", "hb").distinct()
-    x, y = rows.select(F.col("id").alias("i"), F.col("h").alias("ha")), rows.select(F.col("id").alias("j"), F.col("h").alias("hb"))
-    both = met.join(x, "ha").join(y, "hb").filter((F.col("ha") < F.col("hb")) | (F.col("i") < F.col("j")))
-    return both.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), hamming(F.col("ha"), F.col("hb")).cast("int").alias("distance"))
+    n = df.count()
+    blocks = max(1, min(16, n // LEAST_BLOCK), -(-n // MOST_BLOCK))
+    rows = df.select(F.col(id_col).alias("id"), F.col(hash_col).cast("long").alias("h"))
+    packed = rows.groupBy(F.pmod(F.xxhash64("id", "h"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "h")).alias("rows"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    sent = packed.select("block", F.col("rows.id").alias("ids"), F.col("rows.h").alias("hashes"), other)
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    sent = sent.select((high * (high + 1) / 2 + low).cast("int").alias("task"), (low == high).alias("alone"), "ids", "hashes")
+
+    def run(batches):
+        waiting: dict[int, tuple] = {}
+        for batch in batches:
+            for k, (task, alone) in enumerate(zip(batch["task"].to_pylist(), batch["alone"].to_pylist(), strict=True)):
+                ids, h = batch["ids"][k].values, batch["hashes"][k].values
+                kept = pa.compute.and_(pa.compute.is_valid(ids), pa.compute.is_valid(h))
+                own = ids.filter(kept), h.filter(kept).to_numpy().view("u8")
+                if not alone and task not in waiting:
+                    waiting[task] = own
+                    continue
+                mate = own if alone else waiting.pop(task)
+                for i, j, d in close_rows(own[1], None if alone else mate[1], distance):
+                    yield pa.RecordBatch.from_arrays([own[0].take(pa.array(i)), mate[0].take(pa.array(j)), pa.array(d, pa.int32())], names=["i", "j", "distance"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    pairs = sent.repartitionById(blocks * (blocks + 1) // 2, "task").mapInArrow(run, f"i {kind}, j {kind}, distance int").filter("i <> j")
+    return pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "distance")
 
 
 def prepare_marks(df: DataFrame, *, id_col: str, key: str, hash_col: str, label: str, order: list[str], distance: int = 0) -> DataFrame:

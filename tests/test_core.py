@@ -3,10 +3,12 @@
 import json
 import os
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pixelmill.functions import hamming as H
 from pixelmill.functions import kernels as K
 from pixelmill.functions import scalars as S
 from pixelmill.operators import dedup as D
@@ -16,6 +18,7 @@ from pixelmill.operators import models as M
 from pixelmill.operators import profiles as P
 from pixelmill.operators import regions as R
 from pixelmill.operators import splits as SP
+from pixelmill.plans import catalog
 from pixelmill.sources import images as I
 from pixelmill.sources import manifest as MF
 from pixelmill.sources import sinks as K2
@@ -126,6 +129,66 @@ def test_near_pairs_against_brute_force(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("pieces", [None, 4, 6, 17])
+def test_hamming_search_finds_every_pair_once(monkeypatch, pieces):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64 - 1, 20, dtype=np.uint64)
+
+    def some(n):
+        flips = np.zeros(n, np.uint64)
+        for b in range(64):
+            flips |= (rng.random(n) < 0.1).astype(np.uint64) << np.uint64(b)
+        return base[rng.integers(0, 20, n)] ^ flips
+
+    x = np.concatenate([some(300), some(20).repeat(9)])
+    y = np.concatenate([some(200), x[::7]])
+    if pieces:
+        monkeypatch.setattr(H, "cheapest", lambda nx, ny, d: H.parts(d, pieces))
+        monkeypatch.setattr(H, "BLOCK", 64)
+        monkeypatch.setattr(H, "CELLS", 50)
+    for d in (0, 3, 16, 20):
+        assert all(sum(t + 1 for _, _, t in H.parts(d, k)) == d + 1 for k in range(1, 65))
+        for other in (y, None):
+            got = sorted((*((a, b) if other is not None else sorted((a, b))), n) for p in H.close_rows(x, other, d) for a, b, n in zip(*(v.tolist() for v in p), strict=True))
+            all_ = np.bitwise_count(x[:, None] ^ (x if other is None else other))
+            assert got == [(a, b, int(all_[a, b])) for a, b in np.argwhere(all_ <= d).tolist() if other is not None or a < b]
+
+
+def test_near_pairs_of_far_hashes_compare_few(spark, monkeypatch):
+    """At distance 16, bands of 3 or 4 equal bits met 1.3 times all pairs."""
+    rng = np.random.default_rng(4)
+    x, y = (rng.integers(0, 2**64 - 1, 40_000, dtype=np.uint64) for _ in "xy")
+    met, hits = [], H._hits
+    monkeypatch.setattr(H, "_hits", lambda a, b, d, room: met.append(len(a) * len(b)) or hits(a[:0], b, d, room))
+    assert not list(H.close_rows(x, y, 16)) and 0 < sum(met) < 0.35 * len(x) * len(y)
+    df = spark.createDataFrame([(1, 5), (2, 5)], "id long, h long")
+    assert "Join" not in D.near_pairs(df, "id", "h", 16)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_pairs_of_blocks_copies_and_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(D, "LEAST_BLOCK", 20)
+    rng = np.random.default_rng(5)
+    rows = [(f"k{i}", int(h)) for i, h in enumerate(rng.integers(-(2**63), 2**63 - 1, 60))] + [(f"c{i}", 7) for i in range(40)]
+    rows += [("k3", 7), ("c1", 6), (None, 7), ("z", None), ("c2", 7)]  # an id twice, once with an equal hash; nulls
+    got = sorted(tuple(r) for r in D.near_pairs(spark.createDataFrame(rows, "id string, h long"), "id", "h", 16).collect())
+    known = [r for r in rows if None not in r]
+    assert got == sorted((a, b, n) for a, x in known for b, y in known if a < b and (n := ((x ^ y) & (2**64 - 1)).bit_count()) <= 16)
+    assert D.near_pairs(spark.createDataFrame([], "id long, h long"), "id", "h", 16).count() == 0
+
+
+def test_hashes_of_odd_vectors_equal_sql(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    nan, inf, v = float("nan"), float("inf"), rng.normal(size=(6, 64)).tolist()
+    v[1][3], v[2][5], v[3][7] = None, nan, inf
+    rows = [*enumerate(v), (6, None), (7, []), (8, [None] * 64), (9, v[0]), (10, [1.5] * 64), (None, v[0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("avg_hash", "near_dup_pairs"):
+        got = [tuple(r) for r in catalog.queries()[name](spark, str(tmp_path)).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, duck.sql(catalog.oracle_sql()[name]).fetchall())), name
+
+
 def test_marks_of_copies(spark):
     rows = [(1, "s", 7, "ai", "b"), (2, "s", 7, "ai", "a"), (3, "t", 8, "ai", "c"), (4, "u", 9, "ai", "d"), (5, "u", 9, "real", "e")]
     df = spark.createDataFrame(rows, "id int, sha string, h long, label string, path string")
